@@ -231,6 +231,16 @@ def class_rules(raw: DataFrame, a: str = "overall", b: str = "class") -> DataFra
     ).distinct()
 
 
+def _ordered_pairs(items: Column) -> Column:
+    """All (a, b) with a < b of a short array: file names, never rows."""
+    return F.flatten(
+        F.transform(
+            items,
+            lambda a: F.transform(F.filter(items, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))),
+        )
+    )
+
+
 def key_overlap(raw: DataFrame, keys: list[str]) -> DataFrame:
     """|A ∩ B| and its share of both files, for every pair of files.
 
@@ -243,18 +253,14 @@ def key_overlap(raw: DataFrame, keys: list[str]) -> DataFrame:
     )
     sets = per_key.groupBy("files").agg(F.count(F.lit(1)).alias("n"))
     sizes = sets.select(F.explode("files").alias("file"), "n").groupBy("file").agg(F.sum("n").alias("size"))
-    pairs = F.flatten(
-        F.transform(
-            F.col("files"),
-            lambda a: F.transform(F.filter(F.col("files"), lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))),
-        )
-    )
-    both = sets.select(F.explode(pairs).alias("p"), "n").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
+    both = sets.select(F.explode(_ordered_pairs(F.col("files"))).alias("p"), "n").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
         F.sum("n").alias("intersection")
     )
-    left = sizes.select(F.col("file").alias("a"), F.col("size").alias("len_a"))
-    right = sizes.select(F.col("file").alias("b"), F.col("size").alias("len_b"))
-    every = left.join(right, F.col("a") < F.col("b"))
+    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("file", "size"))).alias("files"))
+    every = listed.select(F.explode(_ordered_pairs(F.col("files"))).alias("p")).select(
+        F.col("p.a.file").alias("a"), F.col("p.b.file").alias("b"),
+        F.col("p.a.size").alias("len_a"), F.col("p.b.size").alias("len_b"),
+    )
     out = every.join(both, ["a", "b"], "left")
     n = F.coalesce(F.col("intersection"), F.lit(0)).cast("bigint")
     return out.select(
