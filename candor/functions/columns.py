@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.fixed_values import MISSING_WORDS
@@ -93,3 +93,8 @@ def count_if(c: Column) -> Column:
 def text_key(c: Column) -> Column:
     """256-bit digest of a text: groups equal texts without shuffling the texts themselves."""
     return F.unhex(F.sha2(c, 256))
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct column (an uncorrelated scalar subquery)."""
+    return df.select(F.struct(*df.columns).alias("row")).scalar()

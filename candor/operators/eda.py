@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.fixed_values import HIGH_CORRELATION, PROFILE_PROBABILITIES, SPEARMAN_SAMPLE_ROWS
-from candor.functions.columns import divide
+from candor.functions.columns import divide, one_row
 from candor.functions.ranks import exact_quantiles, value_histogram
 from candor.operators.dedup import uniform_sample
 
@@ -65,7 +65,7 @@ def shares(df: DataFrame, key: str) -> DataFrame:
     """Counts per value and their share of all rows. The total comes from the small count table."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))
-    return counts.join(F.broadcast(total)).select(key, "n", divide(F.col("n"), F.col("_total")).alias("share"))
+    return counts.select(key, "n", divide(F.col("n"), total.scalar()).alias("share"))
 
 
 def by_rating(review_features: DataFrame) -> DataFrame:
@@ -108,16 +108,15 @@ def most_active(reviewer_features: DataFrame, n: int = 10) -> DataFrame:
 
 
 def thresholds(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
-    """One row of exact quantiles of one column, named p..; fit for a broadcast."""
+    """One row of exact quantiles of one column, named p.. ."""
     q = exact_quantiles(value_histogram(df, [column]), probabilities)
     return q.agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(_quantile_name(p)) for p in probabilities])
 
 
 def product_extras(product_features: DataFrame) -> DataFrame:
-    limits = thresholds(product_features, "review_count", [0.99])
-    with_limits = product_features.select("review_count", "five_star_ratio").join(F.broadcast(limits))
+    p99 = thresholds(product_features, "review_count", [0.99]).scalar()
     n = F.col("review_count")
-    return with_limits.agg(
+    return product_features.withColumn("p99", p99).agg(
         F.count_if(n == 1).alias("n_single"), F.count_if(n > F.col("p99")).alias("n_high"),
         F.count_if((n >= 10) & (F.col("five_star_ratio") >= 0.95)).alias("n_conc"),
     )
@@ -125,11 +124,11 @@ def product_extras(product_features: DataFrame) -> DataFrame:
 
 def reviewer_outliers(reviewer_features: DataFrame) -> DataFrame:
     """One row per reviewer with its outlier tags."""
-    q = thresholds(reviewer_features, "review_count", [0.25, 0.75, 0.95, 0.99])
+    q = one_row(thresholds(reviewer_features, "review_count", [0.25, 0.75, 0.95, 0.99]))
     n = F.col("review_count")
-    upper = F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))
-    return reviewer_features.select("reviewerID", "review_count", "extreme_rating_ratio").join(F.broadcast(q)).select(
-        "reviewerID", (n > F.col("p95")).alias("high"), (n > F.col("p99")).alias("extreme"),
+    upper = F.col("q.p75") + 1.5 * (F.col("q.p75") - F.col("q.p25"))
+    return reviewer_features.select("reviewerID", "review_count", "extreme_rating_ratio", q.alias("q")).select(
+        "reviewerID", (n > F.col("q.p95")).alias("high"), (n > F.col("q.p99")).alias("extreme"),
         ((n >= 5) & (F.col("extreme_rating_ratio") >= 0.95)).alias("pattern"), (n > upper).alias("iqr"),
     )
 
@@ -140,13 +139,13 @@ def outlier_counts(review_features: DataFrame, reviewer_features: DataFrame, pro
         F.count_if("high").alias("reviewer_high"), F.count_if("extreme").alias("reviewer_extreme"),
         F.count_if("pattern").alias("reviewer_pattern"), F.count_if("iqr").alias("reviewer_iqr"),
     )
-    length = thresholds(review_features, "review_length_chars", [0.01, 0.99])
+    ends = one_row(thresholds(review_features, "review_length_chars", [0.01, 0.99]))
     c = F.col("review_length_chars")
-    lengths = review_features.select("review_length_chars").join(F.broadcast(length)).agg(
-        F.count_if((c < F.col("p01")) | (c > F.col("p99"))).alias("review_length")
+    lengths = review_features.select("review_length_chars", ends.alias("q")).agg(
+        F.count_if((c < F.col("q.p01")) | (c > F.col("q.p99"))).alias("review_length")
     )
-    top = thresholds(product_features, "review_count", [0.99])
-    products = product_features.select("review_count").join(F.broadcast(top)).agg(
+    top = thresholds(product_features, "review_count", [0.99]).scalar()
+    products = product_features.select("review_count", top.alias("p99")).agg(
         F.count_if(F.col("review_count") > F.col("p99")).alias("product_high")
     )
     parts = [t.unpivot([], t.columns, "tag", "hits") for t in (tags, lengths, products)]
@@ -161,7 +160,8 @@ def log_histogram(df: DataFrame, column: str, steps: int, plus_one: bool) -> Dat
 
 
 def rounded_histogram(df: DataFrame, column: str, digits: int) -> DataFrame:
-    return df.groupBy(F.round(column, digits).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    scale = 10.0**digits
+    return df.groupBy((F.round(F.col(column) * scale) / scale).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -172,9 +172,10 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     k = len(columns)
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-    shifted = df.select(*columns).join(
-        F.broadcast(means.select(*[F.col(c).alias(f"_m_{c}") for c in columns]))
-    ).select(*[(F.col(c).cast("double") - F.col(f"_m_{c}")).alias(c) for c in columns])
+    centre = F.col("_mean")
+    shifted = df.select(*columns, one_row(means).alias("_mean")).select(
+        *[(F.col(c).cast("double") - centre.getField(c)).alias(c) for c in columns]
+    )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((6, k, k))
@@ -212,9 +213,10 @@ def high_pairs(correlations: DataFrame, limit: float = HIGH_CORRELATION) -> Data
 def spearman(df: DataFrame, columns: list[str], key: list[str], sample: int = SPEARMAN_SAMPLE_ROWS) -> DataFrame:
     """(a, b, n, rho) on a uniform sample: Pearson of average ranks, ranked per pair over present rows.
 
-    The sample size bounds every rank window.
+    The sample size bounds every rank window. Values are compared to 9 decimals, so that the order in
+    which floats were summed does not split ties.
     """
-    rows = uniform_sample(df, sample, key).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = uniform_sample(df, sample, key).select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in columns])
     pairs = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
         for i, a in enumerate(columns) for b in columns[i + 1:]

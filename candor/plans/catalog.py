@@ -23,7 +23,7 @@ def comparable(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, _WHOLE):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") * 1e6) / 1e6 + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(*out)
 
