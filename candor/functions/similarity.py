@@ -2,9 +2,9 @@
 
 Two texts are near copies when difflib's ratio of their lower-case forms reaches the threshold. Three
 bounds that can never reject a true match run first, as array operations: lengths, shared characters,
-and shared 4-character pieces. With S = len(a) + len(b) and ratio >= t, the matched characters M are
-at least t*S/2 and at most (1-t)*S characters stay unmatched; each unmatched character breaks at most
-three of the M-3 matched 4-character pieces.
+and shared pieces of 4, 5 and 6 characters. With S = len(a) + len(b) and ratio >= t, the matched
+characters M are at least t*S/2 and at most (1-t)*S characters stay unmatched; each unmatched character
+breaks at most k-1 of the M-k+1 matched pieces of k characters.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark import cloudpickle
 
-PIECE = 4
+PIECES = (4, 5, 6)
 CHAR_BINS = 128
 
 
@@ -24,14 +24,14 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed 4-character pieces and their counts. Hash collisions only raise the overlap."""
+def _pieces(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed pieces of `size` characters and their counts. Collisions only raise the overlap."""
     c = codes.astype(np.uint64)
-    if len(c) < PIECE:
+    if len(c) < size:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    key = np.zeros(len(c) - PIECE + 1, np.uint64)
-    for i in range(PIECE):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + c[i: len(c) - PIECE + 1 + i]
+    key = np.zeros(len(c) - size + 1, np.uint64)
+    for i in range(size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + c[i: len(c) - size + 1 + i]
     return np.unique(key, return_counts=True)
 
 
@@ -48,12 +48,12 @@ class Block:
         for i, c in enumerate(codes):
             self.chars[i] = np.bincount(c % CHAR_BINS, minlength=CHAR_BINS)
         self._codes = codes
-        self._pieces: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._pieces: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def pieces(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        if i not in self._pieces:
-            self._pieces[i] = _pieces(self._codes[i])
-        return self._pieces[i]
+    def pieces(self, i: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if (i, size) not in self._pieces:
+            self._pieces[i, size] = _pieces(self._codes[i], size)
+        return self._pieces[i, size]
 
     def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
         """The members of `others` that may be near copies of text i."""
@@ -70,13 +70,16 @@ class Block:
 
     def _enough_pieces(self, i: int, j: int, total: int) -> bool:
         matched = self.threshold * total / 2
-        needed = matched - (PIECE - 1) * (total - 2 * matched) - (PIECE - 1) - 1e-6
-        if needed <= 0:
-            return True
-        ka, na = self.pieces(i)
-        kb, nb = self.pieces(j)
-        _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-        return int(np.minimum(na[ia], nb[ib]).sum()) >= math.floor(needed)
+        for size in PIECES:
+            needed = matched - (size - 1) * (total - 2 * matched) - (size - 1) - 1e-6
+            if needed <= 0:
+                return True
+            ka, na = self.pieces(i, size)
+            kb, nb = self.pieces(j, size)
+            _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+            if int(np.minimum(na[ia], nb[ib]).sum()) < math.floor(needed):
+                return False
+        return True
 
     def near(self, i: int, j: int) -> bool:
         """The exact test with i as the earlier text. Not symmetric in general."""

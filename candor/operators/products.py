@@ -26,7 +26,8 @@ def prepare(reviews: DataFrame) -> DataFrame:
     """Canonical reviews with the stripped text and its digest. A missing text, title or reviewer stays NULL."""
     text = blank_to_null(F.col("text"))
     return reviews.select(
-        *[c for c in reviews.columns if c not in ("text", "title", "reviewer_id")],
+        *[c for c in reviews.columns if c not in ("text", "title", "reviewer_id", "review_date")],
+        F.col("review_date").cast("timestamp").alias("review_date"),
         F.nullif(F.col("reviewer_id"), F.lit("")).alias("reviewer_id"),
         F.nullif(F.col("title"), F.lit("")).alias("title"),
         text.alias("text"),
