@@ -45,8 +45,9 @@ EXPLANATION = (
 
 
 def places(c: Column, digits: int) -> Column:
+    """Round half up after dropping float noise far below the last kept digit."""
     scale = 10.0**digits
-    return F.round(c * scale) / scale
+    return F.round(F.round(c * scale, 5)) / scale
 
 
 def risk_band(risk: Column) -> Column:

@@ -342,7 +342,7 @@ _COMPONENTS = {
 }
 _W = COMPONENT_WEIGHTS
 TRUST_SQL = f"""{PROFILES_SQL}, {PEOPLE_SQL}, {ROLLUP_SQL},
-comp AS (SELECT * EXCLUDE (mean_risk), mean_risk, {", ".join(f"round(({v})::DOUBLE, 4) AS {k}" for k, v in _COMPONENTS.items())}
+comp AS (SELECT * EXCLUDE (mean_risk), mean_risk, {", ".join(f"round(round(({v})::DOUBLE * 1e4, 5)) / 1e4 AS {k}" for k, v in _COMPONENTS.items())}
  FROM signals LEFT JOIN crew USING ({G}) LEFT JOIN rollup_ USING ({G}) LEFT JOIN toplabel USING ({G})),
 weights AS (SELECT *, {" + ".join(f"CASE WHEN {k} IS NOT NULL THEN {w}::DOUBLE ELSE 0 END" for k, w in _W.items())} AS wsum FROM comp),
 applied AS (SELECT *, {", ".join(f"round(CASE WHEN {k} IS NOT NULL THEN {w}::DOUBLE / wsum ELSE 0 END, 4) AS applied_{k}" for k, w in _W.items())},

@@ -1 +1,38 @@
+"""Streaming queries, run to completion over the events table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from candor.plans.catalog import r6, register
+from candor.session import tune
+from candor.streaming.running import bursts, first_seen, read_files, run_available, running_counters
+
+
+def _events(spark, d):
+    return read_files(tune(spark), d, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, d):
+    out = run_available(first_seen(_events(spark, d), ["user_id", "event_type"], "ts", "90 days"))
+    return out.select("user_id", "event_type")
+
+
+@register(
+    "stream_running_counters",
+    f"""SELECT event_type, count(*)::BIGINT AS n, {r6('sum(value)', 'total')}, {r6('min(value)', '"min"')}, {r6('max(value)', '"max"')}
+ FROM events GROUP BY event_type""",
+)
+def _(spark, d):
+    return run_available(running_counters(_events(spark, d), ["event_type"], "value"), "complete")
+
+
+@register(
+    "stream_bursts",
+    """WITH w AS (SELECT user_id, date_trunc('day', ts) AS "start", date_trunc('day', ts) + INTERVAL 1 DAY AS "end",
+  count(*)::BIGINT AS n FROM events GROUP BY ALL) SELECT user_id, "start"::TIMESTAMP AS "start", "end"::TIMESTAMP AS "end", n FROM w
+ WHERE n >= 3 AND "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def _(spark, d):
+    return run_available(bursts(_events(spark, d), ["user_id"], "ts"))
