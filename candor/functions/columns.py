@@ -98,3 +98,8 @@ def text_key(c: Column) -> Column:
 def one_row(df: DataFrame) -> Column:
     """A one-row table as a struct column (an uncorrelated scalar subquery)."""
     return df.select(F.struct(*df.columns).alias("row")).scalar()
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times in `body`, keeping the expression small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -18,7 +18,7 @@ from candor.fixed_values import (
     TRACKING_KEYS,
     TRACKING_PREFIXES,
 )
-from candor.functions.columns import extract, strip
+from candor.functions.columns import extract, let, strip
 
 PARTS = r"^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -28,7 +28,7 @@ def _any(tests: list[Column]) -> Column:
 
 
 def _with_scheme(url: Column) -> Column:
-    return F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url))
+    return let(url, lambda u: F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u)))
 
 
 def _part(url: Column, group: int) -> Column:
@@ -62,40 +62,48 @@ def _encode(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
-def normalize(url: Column) -> Column:
-    """Cleaned URL without fragment and tracking parameters; NULL when it is not a web address."""
-    text = strip(F.regexp_replace(url, "[\\r\\n]", ""))
-    known = text.startswith("http://") | text.startswith("https://")
-    full = F.when(known, text).otherwise(F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")))
-    host = F.regexp_extract(full, PARTS, 2)
+def _clean_query(url: Column) -> Column:
+    """The query without tracking parameters, encoded again."""
     kept = F.filter(
-        query_pairs(full),
-        lambda p: ~(
-            F.lower(p["key"]).isin(TRACKING_KEYS) | _any([F.lower(p["key"]).startswith(x) for x in TRACKING_PREFIXES])
-        ),
+        query_pairs(url),
+        lambda p: ~let(F.lower(p["key"]), lambda k: k.isin(TRACKING_KEYS) | _any([k.startswith(x) for x in TRACKING_PREFIXES])),
     )
-    query = F.concat_ws("&", F.transform(kept, lambda p: F.concat(_encode(p["key"]), F.lit("="), _encode(p["value"]))))
+    return F.concat_ws("&", F.transform(kept, lambda p: F.concat(_encode(p["key"]), F.lit("="), _encode(p["value"]))))
+
+
+def _rebuild(full: Column) -> Column:
     path = F.coalesce(F.nullif(F.regexp_extract(full, PARTS, 3), F.lit("")), F.lit("/"))
-    out = F.concat(
-        F.regexp_extract(full, PARTS, 1), F.lit("://"), strip(host), path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+    query = let(_clean_query(full), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    host = strip(F.regexp_extract(full, PARTS, 2))
+    return F.when(
+        host.contains("."), F.concat(F.regexp_extract(full, PARTS, 1), F.lit("://"), host, path, query)
     )
-    bad = (text == "") | (text.contains(" ") & ~known) | ~host.contains(".")
-    return F.when(~bad, out)
+
+
+def normalize(url: Column) -> Column:
+    """Cleaned URL without fragment and tracking parameters; NULL when it is not a web address."""
+
+    def from_text(text: Column) -> Column:
+        known = text.startswith("http://") | text.startswith("https://")
+        full = F.when(known, text).otherwise(F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")))
+        return F.when((text != "") & (known | ~text.contains(" ")), let(full, _rebuild))
+
+    return let(strip(F.regexp_replace(url, "[\\r\\n]", "")), from_text)
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without `www.` and a mobile `m.`."""
-    host = F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", "")
-    return F.when(host.startswith("m.") & (F.regexp_count(host, F.lit(r"\.")) >= 2), F.substr(host, F.lit(3))).otherwise(host)
+    return let(
+        F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", ""),
+        lambda h: F.when(h.startswith("m.") & (F.regexp_count(h, F.lit(r"\.")) >= 2), F.substr(h, F.lit(3))).otherwise(h),
+    )
 
 
 def platform_of(host: Column) -> Column:
-    first = reduce(
-        lambda chain, rule: chain.when(host.contains(rule[0]), rule[1]), HOST_FRAGMENTS[1:],
-        F.when(host.contains(HOST_FRAGMENTS[0][0]), HOST_FRAGMENTS[0][1]),
-    )
-    return F.when(host.isNotNull(), first.otherwise("unsupported"))
+    """The store of a host: the first rule whose fragment it contains."""
+    rules = F.array(*[F.struct(F.lit(f).alias("part"), F.lit(p).alias("platform")) for f, p in HOST_FRAGMENTS])
+    found = let(host, lambda h: F.get(F.filter(rules, lambda r: h.contains(r["part"])), F.lit(0))["platform"])
+    return F.when(host.isNotNull(), F.coalesce(found, F.lit("unsupported")))
 
 
 def _clean_path(url: Column) -> Column:
@@ -108,8 +116,12 @@ def _under(path: Column, roots: list[str]) -> Column:
 
 def is_listing(url: Column) -> Column:
     """Search, category, home, cart and login pages."""
-    path, query = _clean_path(url), F.lower(_part(url, 4))
-    share = F.lower(_part(url, 2)).contains("flipkart.com") & path.rlike("/s/[a-z0-9]{5,}$")
+    parts = F.struct(_clean_path(url).alias("path"), F.lower(_part(url, 4)).alias("query"), F.lower(_part(url, 2)).alias("host"))
+    return let(parts, lambda p: _listing(p["path"], p["query"], p["host"]))
+
+
+def _listing(path: Column, query: Column, host: Column) -> Column:
+    share = host.contains("flipkart.com") & path.rlike("/s/[a-z0-9]{5,}$")
     listing = _any(
         [
             path == "/", _under(path, NON_PRODUCT_PATHS), path == "/s", path.startswith("/s/ref"),
@@ -133,9 +145,11 @@ def _query_asin(url: Column, keys: list[str]) -> Column:
 
 
 def asin_of(url: Column) -> Column:
-    text = strip(url)
-    path = _clean_path(text)
-    searching = (path == "/s") | path.startswith("/s/")
+    return let(strip(url), _asin)
+
+
+def _asin(text: Column) -> Column:
+    searching = let(_clean_path(text), lambda path: (path == "/s") | path.startswith("/s/"))
     return F.coalesce(
         F.upper(extract(text, ASIN_PATH_PATTERN)), _query_asin(text, ASIN_QUERY_KEYS),
         F.when(~searching, _query_asin(text, ["s"])),
@@ -144,10 +158,10 @@ def asin_of(url: Column) -> Column:
 
 
 def marketplace(url: Column) -> Column:
-    host = host_of(url)
-    return (
-        F.when(host.startswith("amazon."), host).when(host.endswith(".amazon.com"), "amazon.com")
-        .when(host != "", host).otherwise("amazon.com")
+    return let(
+        host_of(url),
+        lambda h: F.when(h.startswith("amazon."), h).when(h.endswith(".amazon.com"), "amazon.com").when(h != "", h)
+        .otherwise("amazon.com"),
     )
 
 
@@ -157,8 +171,12 @@ def canonical_url(url: Column) -> Column:
 
 def store_product_id(platform: Column, url: Column) -> Column:
     """The store's own product id, by its URL shape."""
+    seen = F.struct(platform.alias("platform"), url.alias("url"), path_of(url).alias("path"), path_parts(url).alias("parts"))
+    return let(seen, lambda s: _store_id(s["platform"], s["url"], s["path"], s["parts"]))
+
+
+def _store_id(platform: Column, url: Column, path: Column, parts: Column) -> Column:
     p = STORE_ID_PATTERNS
-    path, parts = path_of(url), path_parts(url)
     find = lambda name: extract(path, p[name])
     last = F.try_element_at(parts, F.lit(-1))
     digits = F.try_element_at(F.filter(parts, lambda x: x.rlike(r"^\d{5,}$")), F.lit(-1))
@@ -205,7 +223,11 @@ def detect(df: DataFrame, url: str = "url") -> DataFrame:
 
 def market_ids(url: Column) -> Column:
     """(pid, item_id, title guess, slug, share link) of a marketplace URL."""
-    p, parts = STORE_ID_PATTERNS, path_parts(url)
+    return let(F.struct(url.alias("url"), path_parts(url).alias("parts")), lambda s: _market(s["url"], s["parts"]))
+
+
+def _market(url: Column, parts: Column) -> Column:
+    p = STORE_ID_PATTERNS
     n = F.size(parts)
     pid, item = F.upper(extract(url, p["query_pid"])), F.lower(extract(url, p["item"]))
     before_p = F.when((n >= 2) & (F.try_element_at(parts, F.lit(-2)) == "p"),
@@ -230,7 +252,10 @@ def market_ids(url: Column) -> Column:
 
 def slug_title(url: Column) -> Column:
     """Title guessed from the last meaningful path segment."""
-    parts = path_parts(url)
+    return let(path_parts(url), _slug_title)
+
+
+def _slug_title(parts: Column) -> Column:
     n = F.size(parts)
     tail_is_id = (n >= 2) & F.lower(F.try_element_at(parts, F.lit(-2))).isin("p", "buy")
     usable = F.when(tail_is_id, F.slice(parts, 1, F.greatest(n - 1, F.lit(0)))).otherwise(parts)
