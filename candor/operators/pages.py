@@ -23,7 +23,7 @@ from candor.fixed_values import (
     TITLE_CUTS,
     TITLE_PATTERN,
 )
-from candor.functions.columns import blank_to_null, extract, strip, to_number, to_whole
+from candor.functions.columns import blank_to_null, extract, let, strip, to_number, to_whole
 from candor.operators.dedup import first_rows
 
 PRODUCT = ["product_id", "url", "title", "brand", "category", "price", "currency", "rating", "rating_count",
@@ -36,23 +36,28 @@ def plain(c: Column) -> Column:
 
 
 def is_generic_title(c: Column) -> Column:
-    low = F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
-    return F.coalesce(
-        (low == "") | low.isin(GENERIC_TITLES) | low.contains("online electronic shopping")
-        | low.contains("online electronics shopping") | low.endswith(" reviews online"), F.lit(True))
+    generic = let(
+        F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " "))),
+        lambda low: (low == "") | low.isin(GENERIC_TITLES) | low.contains("online electronic shopping")
+        | low.contains("online electronics shopping") | low.endswith(" reviews online"),
+    )
+    return F.coalesce(generic, F.lit(True))
 
 
 def clean_title(c: Column) -> Column:
     text = strip(F.regexp_replace(c, r"(?U)\s+", " "))
     text = F.regexp_replace(text, r"(?i)^(?:Buy|Shop)\s+", "")
     text = strip(F.get(F.split(text, TITLE_CUTS, 2), F.lit(0)))
-    return F.when(~is_generic_title(text), F.substring(text, 1, TITLE_CHARS))
+    return let(text, lambda t: F.when(~is_generic_title(t), F.substring(t, 1, TITLE_CHARS)))
 
 
 def split_store_title(c: Column) -> Column:
     """(title, brand): a short ` by X` ending is the brand."""
     text = F.regexp_replace(strip(F.regexp_replace(c, r"(?U)\s+", " ")), r"(?i)^(?:Buy|Shop)\s+", "")
-    text = strip(F.get(F.split(text, STORE_TITLE_CUTS, 2), F.lit(0)))
+    return let(strip(F.get(F.split(text, STORE_TITLE_CUTS, 2), F.lit(0))), _title_and_brand)
+
+
+def _title_and_brand(text: Column) -> Column:
     halves = F.split(text, r"(?i)\s+by\s+", 2)
     right = F.get(halves, F.lit(1))
     named = F.lower(text).contains(" by ") & (right != "") & (F.size(F.split(strip(right), r"\s+")) <= 4)
@@ -77,7 +82,10 @@ def meta_map(html: Column) -> Column:
         return F.struct(F.lower(name).alias("key"), strip(value("content")).alias("value"))
 
     tags = F.transform(F.regexp_extract_all(html, F.lit(META_PATTERN), F.lit(1)), entry)
-    good = F.filter(tags, lambda t: (t["key"] != "") & (t["value"] != ""))
+    return let(F.filter(tags, lambda t: (t["key"] != "") & (t["value"] != "")), _last_by_key)
+
+
+def _last_by_key(good: Column) -> Column:
     last = F.transform(
         F.array_distinct(F.transform(good, lambda t: t["key"])),
         lambda k: F.struct(k, F.element_at(F.filter(good, lambda t: t["key"] == k), -1)["value"]),
@@ -91,6 +99,10 @@ def _currency(c: Column) -> Column:
 
 def from_meta(metas: Column, url: Column) -> Column:
     """Product record of the Open Graph tags, NULL without title, brand, price and image."""
+    return let(F.struct(metas.alias("metas"), url.alias("url")), lambda s: _from_meta(s["metas"], s["url"]))
+
+
+def _from_meta(metas: Column, url: Column) -> Column:
     pick = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at(metas, F.lit(k)), F.lit("")) for k in keys])
     title, image = clean_title(pick("og:title", "twitter:title", "title")), pick("og:image", "twitter:image")
     brand, price = pick("product:brand", "og:brand"), to_number(pick("product:price:amount", "og:price:amount"))
@@ -215,6 +227,11 @@ def overlay(records: list[tuple[str, Column]]) -> Column:
 
     A title that was only guessed from the URL, or is a generic store title, gives way to a later one.
     """
+    packed = F.struct(*[r.alias(name) for name, r in records])
+    return let(packed, lambda s: _overlay([(name, s[name]) for name, _ in records]))
+
+
+def _overlay(records: list[tuple[str, Column]]) -> Column:
     def filled(c: Column) -> Column:
         return F.when(c.cast("string") != "", c)
 

@@ -259,7 +259,7 @@ def document_payloads(spark, d):
         F.lit("Reviewed in India on January 5, 2024").alias("date"), F.lit(True).alias("verified_purchase"), F.lit("Asha").alias("author"))
     again = F.struct(F.lit(2).alias("position"), F.col("text"), F.lit(1).alias("rating"))
     third = F.struct(F.lit(3).alias("position"), F.lit("").alias("text"), F.concat(F.lit("<b>Only</b> title "), i).alias("title"),
-                     F.concat(F.lit("https://x/customer-reviews/R"), i, F.lit("/?ref=1")).alias("link"))
+                     F.concat(F.lit("https://x/customer-reviews/R"), i, F.lit("?ref=1")).alias("link"))
     search = F.to_json(F.struct(
         F.struct(F.concat(F.lit("Product "), i).alias("title"), F.when(F.col("doc_id") % 7 == 0, F.lit("OTHER00000")).otherwise(asin).alias("asin"),
                  F.concat(F.lit("Visit the Brand "), "lang", F.lit(" Store")).alias("brand"),
