@@ -16,8 +16,12 @@ NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def strip(c: Column) -> Column:
-    """Trim every Unicode white-space character, not only blanks."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim every Unicode white-space character, not only blanks.
+
+    Trimming a character set walks the whole text, so it only runs where an end is white space.
+    """
+    ends = F.left(c, F.lit(1)).isin(*WHITESPACE) | F.right(c, F.lit(1)).isin(*WHITESPACE)
+    return F.when(ends, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -27,7 +31,9 @@ def blank_to_null(c: Column) -> Column:
 
 def is_missing(c: Column) -> Column:
     """TRUE for NULL, blank, and the words that stand for a missing cell."""
-    return F.coalesce(F.lower(strip(c)).isin(MISSING_WORDS), F.lit(True))
+    s = strip(c)
+    longest = max(len(w) for w in MISSING_WORDS)
+    return s.isNull() | ((F.octet_length(s) <= longest) & F.lower(s).isin(MISSING_WORDS))
 
 
 def to_number(c: Column) -> Column:

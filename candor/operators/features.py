@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.functions.columns import divide, entropy, text_key
@@ -33,7 +33,6 @@ def _reviewer_columns() -> list[Column]:
         (F.max(rating) - F.min(rating)).alias("rating_range"),
         F.count_if(F.col("text_missing") == 0).alias("review_text_count"),
         F.avg("text_length").alias("avg_review_length"),
-        F.median("text_length").alias("median_review_length"),
         F.sum("helpful_votes").alias("helpful_votes_total"),
         F.min("unixReviewTime").alias("first_review_unix"),
         F.max("unixReviewTime").alias("last_review_unix"),
@@ -43,14 +42,37 @@ def _reviewer_columns() -> list[Column]:
     ]
 
 
+def _median_length(reviews: DataFrame) -> DataFrame:
+    """Exact median text length per reviewer, from counts per distinct length."""
+    hist = reviews.groupBy(F.col("reviewerID").alias("_id"), "text_length").agg(F.count(F.lit(1)).alias("k"))
+    mine = Window.partitionBy("_id")
+    upto = F.sum("k").over(mine.orderBy("text_length"))
+    total = F.sum("k").over(mine)
+    ranked = hist.filter(F.col("text_length").isNotNull()).select(
+        "_id", "text_length", (upto - F.col("k")).alias("before"), upto.alias("upto"), total.alias("total")
+    )
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda place: (place >= F.col("before")) & (place < F.col("upto"))
+    return ranked.filter(holds(low) | holds(high)).groupBy("_id").agg(F.avg("text_length").alias("median_review_length"))
+
+
+def _reviewer_table(reviews: DataFrame, extra: list[Column]) -> DataFrame:
+    agg = reviews.groupBy("reviewerID").agg(*_reviewer_columns(), *extra)
+    median = _median_length(reviews)
+    return agg.join(median, agg["reviewerID"].eqNullSafe(median["_id"]), "left").drop("_id")
+
+
 def reviewer_aggregate(reviews: DataFrame) -> DataFrame:
     """One row per reviewer, 18 columns. Partial aggregation runs before the shuffle."""
-    return reviews.groupBy("reviewerID").agg(*_reviewer_columns())
+    out = _reviewer_table(reviews, [])
+    at = out.columns.index("avg_review_length") + 1
+    names = [c for c in out.columns if c != "median_review_length"]
+    return out.select(*names[:at], "median_review_length", *names[at:])
 
 
 def reviewer_features(reviews: DataFrame) -> DataFrame:
     """One row per reviewer, 32 columns. The star histogram rides on the same aggregation."""
-    agg = reviews.groupBy("reviewerID").agg(*_reviewer_columns(), *_star_counts("overall"))
+    agg = _reviewer_table(reviews, _star_counts("overall"))
     n = F.col("review_count")
     shares = [divide(F.col(f"n_rating_{s}"), n) for s in STARS]
     return agg.select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,18 +89,18 @@ def blocks(texts: DataFrame, threshold: float, tile: int = TILE, **skew: int) ->
     )
 
 
-def _match_block(pdf: pd.DataFrame, threshold: float, autojunk: bool) -> pd.DataFrame:
-    """Matched texts of one block.
+def _match_block(text_id, text, n, first, last, side, threshold: float, autojunk: bool) -> list[tuple]:
+    """Matched texts of one block as (text_id, before, after, pairs, other).
 
     `before` is the last place up to which the text has a later near copy, `after` the first place from
     which it has an earlier one; `pairs` counts review pairs. Where only one order of two interleaved
     texts matches, `other` names the later text and the pairs are counted from the rows afterwards.
     """
-    pdf = pdf.sort_values("first", kind="stable").reset_index(drop=True)
-    block = Block(pdf["text"].tolist(), threshold, autojunk)
-    first, last, n = pdf["first"].tolist(), pdf["last"].tolist(), pdf["n"].tolist()
-    side = pdf["side"].to_numpy()
-    index = np.arange(len(pdf))
+    order = sorted(range(len(text)), key=lambda k: first[k])
+    text_id, text, n, first, last = ([c[k] for k in order] for c in (text_id, text, n, first, last))
+    side = np.array([side[k] for k in order])
+    block = Block(text, threshold, autojunk)
+    index = np.arange(len(text))
     found: dict[int, list] = {}
     extra: list[tuple[int, int]] = []
 
@@ -108,9 +109,9 @@ def _match_block(pdf: pd.DataFrame, threshold: float, autojunk: bool) -> pd.Data
         a[0] = max(a[0], last[later])
         b[1] = first[earlier] if b[1] is None else min(b[1], first[earlier])
 
-    for i in index:
+    for i in index[:-1]:
         others = index[i + 1:]
-        others = others[(side[i + 1:] == 0)] if side[i] == 0 else others[side[i + 1:] == 3 - side[i]]
+        others = others[side[i + 1:] == (0 if side[i] == 0 else 3 - side[i])]
         for j in block.candidates(i, others):
             forward = first[i] < last[j] and block.near(i, j)
             backward = first[j] < last[i] and block.near(j, i)
@@ -123,24 +124,44 @@ def _match_block(pdf: pd.DataFrame, threshold: float, autojunk: bool) -> pd.Data
                 extra.append((i, j) if forward else (j, i))
             elif forward or backward:
                 found[i][2] += n[i] * n[j]
-    rows = [(pdf["text_id"][k], v[0], v[1], v[2], None) for k, v in found.items()]
-    rows += [(pdf["text_id"][a], "", None, 0, pdf["text_id"][b]) for a, b in extra]
-    out = pd.DataFrame(rows, columns=["text_id", "before", "after", "pairs", "other"])
-    out.insert(0, "product_id", pdf["product_id"].iloc[0])
-    out.insert(0, "platform", pdf["platform"].iloc[0])
-    return out
+    rows = [(text_id[k], v[0], v[1], v[2], None) for k, v in found.items()]
+    return rows + [(text_id[a], "", None, 0, text_id[b]) for a, b in extra]
+
+
+BLOCK = [*GROUP, "kind", "class", "i", "j"]
 
 
 def near_texts(
     rows: DataFrame, threshold: float = NEAR_DUPLICATE_RATIO, autojunk: bool = True, tile: int = TILE, **skew: int
 ) -> DataFrame:
-    """One row per text that has a near copy, plus one row per one-way pair of interleaved texts."""
-    work = blocks(distinct_texts(rows), threshold, tile, **skew)
+    """One row per text that has a near copy, plus one row per one-way pair of interleaved texts.
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _match_block(pdf, threshold, autojunk)
+    Blocks are shuffled by their key and read in sorted order; a task holds one block at a time.
+    """
+    work = blocks(distinct_texts(rows), threshold, tile, **skew)
 
-    return work.groupBy(*GROUP, "kind", "class", "i", "j").applyInPandas(match, OUT)
+    def solve(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        platform, product = pdf["platform"].tolist(), pdf["product_id"].tolist()
+        columns = [pdf[c].tolist() for c in ("text_id", "text", "n", "first", "last", "side")]
+        out = []
+        for s, e in zip(starts, ends):
+            if e - s > 1:
+                for found in _match_block(*[c[s:e] for c in columns], threshold, autojunk):
+                    out.append((platform[s], product[s], *found))
+        return pd.DataFrame(out, columns=[*GROUP, "text_id", "before", "after", "pairs", "other"])
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf[BLOCK].fillna("")
+            starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+            yield solve(pdf, starts[:-1], starts[1:])
+            held = pdf.iloc[starts[-1]:]
+        if held is not None:
+            yield solve(held, np.array([0]), np.array([len(held)]))
+
+    return work.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInPandas(match, OUT)
 
 
 def near_pairs(rows: DataFrame, matches: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from candor.fixed_values import (
     SUMMARY_SENTENCES,
     SUMMARY_TITLES,
 )
-from candor.functions.columns import clamp, compact, divide, half_even
+from candor.functions.columns import clamp, compact, divide, half_even, let
 from candor.operators.dedup import first_rows
 from candor.operators.near_copies import near_pairs, near_texts, with_near_flag
 from candor.operators.products import (
@@ -124,17 +124,24 @@ def review_risk(rows: DataFrame, signals: DataFrame, matches: DataFrame | None =
         "exact": F.col("copies"), "near": F.lit(1), "short": F.col("chars"), "rating": places(deviation, 3),
         "helpful": F.col("helpful_votes"),
     }
-    points = [F.when(c, RISK_POINTS[k]).otherwise(0) for k, c in signs.items()]
-    risk = F.least(F.lit(100), reduce(lambda a, b: a + b, points))
-    explained = [
-        F.when(c, _explanation(RISK_FEATURES[k], observed[k], RISK_INTERPRETATIONS[k], "negative", RISK_POINTS[k]))
-        for k, c in signs.items()
-    ]
-    out = with_sentiment(r).withColumns(
+    seen = F.struct(
+        *[F.coalesce(c, F.lit(False)).alias(k) for k, c in signs.items()],
+        *[v.cast("double").alias(f"{k}_value") for k, v in observed.items()],
+    )
+
+    def explain(s: Column) -> Column:
+        return compact([
+            F.when(s[k], _explanation(RISK_FEATURES[k], s[f"{k}_value"], RISK_INTERPRETATIONS[k], "negative", RISK_POINTS[k]))
+            for k in signs
+        ])
+
+    s = F.col("_signs")
+    points = [F.when(s[k], RISK_POINTS[k]).otherwise(0) for k in signs]
+    out = with_sentiment(r.withColumn("_signs", seen)).withColumns(
         {
-            "suspicion_risk": risk,
-            "reasons": compact([F.when(c, RISK_REASONS[k]) for k, c in signs.items()]),
-            "explanations": compact(explained),
+            "suspicion_risk": F.least(F.lit(100), reduce(lambda a, b: a + b, points)),
+            "reasons": compact([F.when(s[k], RISK_REASONS[k]) for k in signs]),
+            "explanations": let(s, explain),
         }
     )
     return out.select(
@@ -262,8 +269,8 @@ def blend(scored: DataFrame) -> DataFrame:
     ).withColumn("trust_level", trust_level(F.col("product_trust_score"))).drop("_weight")
 
 
-def _component_explanation(name: str) -> Column:
-    score, weight = F.col(name), F.col(f"applied_{name}")
+def _component_explanation(name: str, s: Column) -> Column:
+    score, weight = s[name], s[f"applied_{name}"]
     high, low, between = COMPONENT_SENTENCES[name]
     item = _explanation(
         COMPONENT_TITLES[name], half_even(score), F.when(score >= 55, high).when(score < 45, low).otherwise(between),
@@ -275,8 +282,13 @@ def _component_explanation(name: str) -> Column:
 
 def explanations() -> Column:
     """The ordered explanation list of one product."""
+    inputs = ["duplicate_text_ratio", "reviewer_diversity", "n_short", "n_high", "n_scored", "top_label", "top_count"]
+    return let(F.struct(*inputs, *COMPONENT_WEIGHTS, *[f"applied_{k}" for k in COMPONENT_WEIGHTS]), _explain_product)
+
+
+def _explain_product(s: Column) -> Column:
     say, title = SUMMARY_SENTENCES, SUMMARY_TITLES
-    dup, div = F.col("duplicate_text_ratio"), F.col("reviewer_diversity")
+    dup, div = s["duplicate_text_ratio"], s["reviewer_diversity"]
     risk, people = "suspicious_review_risk", "reviewer_reliability"
     repeated = F.when(
         dup.isNotNull(),
@@ -289,20 +301,20 @@ def explanations() -> Column:
         _explanation(title["variety"], places(div, 4), F.when(varied, say["varied"]).otherwise(say["not_varied"]),
                      F.when(varied, "positive").otherwise("negative"), None, people),
     ).otherwise(_explanation(title["no_reviewers"], None, say["no_reviewers"], "neutral", None, people))
-    n_short, n_high, top, k = (F.col(c) for c in ("n_short", "n_high", "top_label", "top_count"))
+    n_short, n_high, top, k = (s[c] for c in ("n_short", "n_high", "top_label", "top_count"))
     short = F.when(n_short > 0, _explanation(title["short"], n_short, say["short"], "negative", None, risk))
     high = _explanation(title["high"], n_high, F.when(n_high > 0, say["high"]).otherwise(say["not_high"]),
                         F.when(n_high > 0, "negative").otherwise("positive"), None, risk)
-    half = divide(k, F.col("n_scored")) >= 0.5
+    half = divide(k, s["n_scored"]) >= 0.5
     mood = F.when(
-        F.col("n_scored") > 0,
+        s["n_scored"] > 0,
         _explanation(
             title["sentiment"], k,
             F.when((top == "positive") & half, say["positive"]).when((top == "negative") & half, say["negative"])
             .otherwise(say["mixed"]), "neutral",
         ),
     )
-    items = [*[_component_explanation(c) for c in COMPONENT_WEIGHTS], repeated, variety, short, high, mood]
+    items = [*[_component_explanation(c, s) for c in COMPONENT_WEIGHTS], repeated, variety, short, high, mood]
     return compact([i.cast(EXPLANATION) for i in items])
 
 

@@ -376,7 +376,7 @@ def _component_row(k):
     return f"""SELECT {G}, '{COMPONENT_TITLES[k]}' AS feature, {r6(f'round_even({k}, 0)', 'observed_value')},
  CASE WHEN {k} >= 55 THEN {hi} WHEN {k} < 45 THEN {lo} ELSE {mid} END AS interpretation,
  CASE WHEN {k} >= 55 THEN 'positive' WHEN {k} < 45 THEN 'negative' ELSE 'neutral' END AS direction,
- {r6(f'round(applied_{k} * ({k} - 50), 2)', 'contribution')}, '{k}' AS component FROM applied WHERE {k} IS NOT NULL"""
+ {r6(f'round(round(applied_{k} * ({k} - 50) * 100, 5)) / 100', 'contribution')}, '{k}' AS component FROM applied WHERE {k} IS NOT NULL"""
 
 
 def _row(title, value, text, direction, component, where):

@@ -127,7 +127,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = F.when(ln <= 2, F.array(rank, (rank + 1) % 3)).otherwise(F.array(rank))
     metrics = F.concat(
         F.lit("{"),
-        F.concat_ws(", ", *[F.format_string(f"'{k}': %.3f", metric(k)) for k in METRIC_KEYS]),
+        F.concat_ws(", ", *[F.concat(F.lit(f"'{k}': "), metric(k).cast("string")) for k in METRIC_KEYS]),
         F.lit("}"),
     )
     return j.withColumn("source_rank", F.explode(ranks)).select(
