@@ -15,6 +15,11 @@ WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
 NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times in `body`, keeping the expression small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode white-space character, not only blanks.
 
@@ -24,9 +29,14 @@ def strip(c: Column) -> Column:
     return F.when(ends, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
+def strip_once(c: Column) -> Column:
+    """`strip` for an argument that is itself an expression."""
+    return let(c, strip)
+
+
 def blank_to_null(c: Column) -> Column:
     """Stripped text, or NULL when nothing is left."""
-    return F.nullif(strip(c), F.lit(""))
+    return let(strip_once(c), lambda s: F.nullif(s, F.lit("")))
 
 
 def is_missing(c: Column) -> Column:
@@ -38,14 +48,12 @@ def is_missing(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Decimal or scientific notation to double; anything else (also NaN words) to NULL."""
-    s = strip(c)
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+    return let(strip_once(c), lambda s: F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double")))
 
 
 def to_whole(c: Column) -> Column:
     """An integer written as text, else NULL."""
-    s = strip(c)
-    return F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint"))
+    return let(strip_once(c), lambda s: F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint")))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -104,8 +112,3 @@ def text_key(c: Column) -> Column:
 def one_row(df: DataFrame) -> Column:
     """A one-row table as a struct column (an uncorrelated scalar subquery)."""
     return df.select(F.struct(*df.columns).alias("row")).scalar()
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it many times in `body`, keeping the expression small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))

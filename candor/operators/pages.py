@@ -23,7 +23,8 @@ from candor.fixed_values import (
     TITLE_CUTS,
     TITLE_PATTERN,
 )
-from candor.functions.columns import blank_to_null, extract, let, strip, to_number, to_whole
+from candor.functions.columns import blank_to_null, extract, let, to_number, to_whole
+from candor.functions.columns import strip_once as strip
 from candor.operators.dedup import first_rows
 
 PRODUCT = ["product_id", "url", "title", "brand", "category", "price", "currency", "rating", "rating_count",

@@ -18,7 +18,8 @@ from candor.fixed_values import (
     TRACKING_KEYS,
     TRACKING_PREFIXES,
 )
-from candor.functions.columns import extract, let, strip
+from candor.functions.columns import extract, let
+from candor.functions.columns import strip_once as strip
 
 PARTS = r"^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
