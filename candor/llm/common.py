@@ -14,7 +14,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from candor.session import ensure_checkpoint_dir
@@ -102,6 +101,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length each, as bytes behind their lengths and types."""
+    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
+    return len(head).to_bytes(2, "little") + head + b"".join(a.tobytes() for a in arrays)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:2], "little")
+    at, out = 2 + n, []
+    for kind, size in (x.split(",") for x in blob[2:at].decode().split(";")):
+        a = np.frombuffer(blob, np.dtype(kind), int(size), at)
+        at += a.nbytes
+        out.append(a)
+    return out
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The smallest unsigned type that holds `a`."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """`node`, `component` for every node of `links` (a, b): the smallest node that can be reached.
 
@@ -146,5 +167,3 @@ def spare(df: DataFrame, *names: str) -> list[str]:
         out.append(n)
     return out
 
-
-LONGS = T.ArrayType(T.LongType())

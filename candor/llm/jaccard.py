@@ -3,19 +3,26 @@
 A document's set is its distinct n-grams of words (a shorter text is one n-gram). Two sets are linked when
 100 * intersection >= percent * union; a component is everything reachable by links.
 
-1. Documents with equal sets fold to one class before anything meets, whatever their number.
-2. Tokens (n-gram hashes) have one global order: how often their cell of a fixed-size count table was hit over
-   the whole corpus, then the hash. Linked sets of sizes n share `k` tokens among their first
-   n - ceil(percent * n / 100) + k in that order, the extended prefix; only prefixes are indexed.
-3. Every class is verified against the smallest class of each of its prefix tokens: one pair per index entry,
+1. Documents with equal sets are one class, whatever their number; a class is named by 64 bits of its digest.
+2. Tokens (n-gram hashes) travel once, packed, to the task of their hash range, which counts the classes each
+   is in. Tokens of a single class cannot be shared, so only the others go back to their classes, with their
+   counts. A class of size n with fewer than percent * n / 100 of those is linked with nothing and is done.
+3. The global order of tokens is rare first (count, then hash). Linked sets share `k` tokens among their first
+   n - ceil(percent * n / 100) + k, the extended prefix; only its shared tokens are indexed.
+4. Every class is verified against the smallest class of each of its indexed tokens: one pair per index entry,
    so a group of thousands of near copies becomes one component without being expanded into pairs.
-4. Tokens all of whose classes are now in one component are done. Of the others, tokens met in at most
+5. Tokens all of whose classes are now in one component are done. Of the others, tokens met in at most
    `rare` components are indexed one by one; frequent ones by combinations of k of them, since linked
-   sets without a common rare token share k frequent ones. Pairs across components are verified exactly.
+   sets without a common rare token share k frequent ones. Pairs across components are verified exactly:
+   intersections need shared tokens only.
 
-A class is named by its smallest document. Documents without words are linked with nothing. Null texts have no
-words. Rows that repeat an id are one document: if their texts differ, whatever either is linked with is
-linked. A null id sorts first, and all rows with a null id are one document. An empty table gives no rows. Other columns play no part.
+A token is kept in 48 bits and its range number, so a pair of sets meets a false match with a chance of about
+10^-10 at any size of the corpus. The task of a range holds its tokens' entries, 14 bytes each; the number of
+ranges follows the text, but one n-gram that very many different documents share is in one range.
+
+Documents without words are linked with nothing. Null texts have no words. Rows are judged by their own
+text, also where they repeat an id; a null id sorts first. An empty table gives no rows. Other columns play
+no part.
 """
 
 from __future__ import annotations
@@ -26,15 +33,27 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import WordHashes, attach, columns, components, mixed, spare, written
+from candor.llm.common import (
+    WordHashes,
+    attach,
+    columns,
+    components,
+    mixed,
+    narrow,
+    pack,
+    parts_for,
+    spare,
+    unpack,
+    written,
+)
 
-COUNT_CELLS = 1 << 18
-FILTER_BITS = 1 << 23
 RARE = 32
 K = 2
+RANGE_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 21
 NULL_ID = -(2**63)
 
 
@@ -51,96 +70,138 @@ def ngrams(text: str, n: int, memo: WordHashes, fold_case: bool) -> np.ndarray:
     return np.unique(h)
 
 
-def least_overlap(size, percent: int):
+def class_of(tokens: np.ndarray) -> int:
+    return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def least_overlap(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The smallest intersection a set of `size` can have with a linked one."""
     return -(-size * percent // 100)
 
 
-def count_table(docs: DataFrame, n: int, fold_case: bool) -> np.ndarray:
-    """Hits of each of COUNT_CELLS cells by the tokens of all documents: a fixed-size summary."""
+def sketches(docs: DataFrame, n: int, fold_case: bool) -> DataFrame:
+    """`doc_id, size, class` of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, cells = WordHashes(), np.zeros(COUNT_CELLS, np.int64)
+        memo = WordHashes()
         for frame in frames:
-            for text in frame["text"]:
-                np.add.at(cells, (ngrams(text, n, memo, fold_case) % np.uint64(COUNT_CELLS)).astype(np.int64), 1)
-        at = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": at.astype(np.int32), "hits": cells[at]})
+            sets = [ngrams(t, n, memo, fold_case) for t in frame["text"]]
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"].to_numpy(), "size": np.array([len(s) for s in sets], np.int64),
+                "class": np.array([class_of(s) for s in sets], np.int64)})
+
+    return docs.mapInPandas(run, "doc_id long, size long, class long")
 
-    rows = docs.select("text").mapInPandas(run, "cell int, hits long").groupBy("cell").agg(F.sum("hits").alias("hits"))
-    got = rows.toPandas()
-    table = np.zeros(COUNT_CELLS, np.int64)
-    table[got["cell"].to_numpy()] = got["hits"].to_numpy()
-    return table
 
+def token_blobs(docs: DataFrame, n: int, percent: int, fold_case: bool, ranges: int) -> DataFrame:
+    """`rng, blob`: the tokens of each class, once per chunk of a task, packed by hash range.
+
+    Sets too small to be linked with one that differs are left out.
+    """
 
-def sketches(docs: DataFrame, n: int, percent: int, fold_case: bool, cells, k: int = K) -> DataFrame:
-    """`doc_id, size, digest, prefix` of every document; sets too small to differ and be linked have no prefix."""
+    def chunk_rows(classes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        rng = (tokens % np.uint64(ranges)).astype(np.int64)
+        by = np.argsort(rng, kind="stable")
+        tokens, owner, rng = tokens[by], owner[by], rng[by]
+        low = mixed(tokens).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        names = np.array(classes, np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], rng[1:] != rng[:-1]]))
+        blobs = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(rng)], strict=True):
+            own, counts = np.unique(owner[lo:hi], return_counts=True)
+            blobs.append(pack(names[own], narrow(counts), np.ascontiguousarray(low[lo:hi]).ravel()))
+        return pd.DataFrame({"rng": rng[cuts].astype(np.int32), "blob": pd.Series(blobs, dtype=object)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, table = WordHashes(), cells.value
+        memo = WordHashes()
+        held: dict[int, np.ndarray] = {}
+        n_held = 0
         for frame in frames:
-            sizes, digests, prefixes = [], [], []
             for text in frame["text"]:
                 s = ngrams(text, n, memo, fold_case)
-                need = least_overlap(len(s), percent)
-                sizes.append(len(s))
-                digests.append(blake2b(s.tobytes(), digest_size=16).digest())
                 if len(s) == 0 or (len(s) + 1) * percent > len(s) * 100:
-                    # no set of another size, nor an equally large one that differs, is near enough
-                    prefixes.append(np.zeros(0, np.int64))
                     continue
-                order = np.lexsort((s, table[(s % np.uint64(COUNT_CELLS)).astype(np.int64)]))
-                prefixes.append(s[order[: len(s) - need + k]].view(np.int64))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "size": np.array(sizes, np.int64), "digest": pd.Series(digests, dtype=object),
-                "prefix": pd.Series(prefixes, dtype=object)})
-
-    return docs.mapInPandas(run, "doc_id long, size long, digest binary, prefix array<long>")
-
-
-def _bits(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of hashed ids, built in the map tasks; `bits` is its size whatever the number of ids."""
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    rows = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(bits + 32_768 * 2, bool)
-    for r in rows:
-        at = (r["b"] - 1) * 32_768
-        out[at : at + 32_768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-    return out
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, n: int, fold_case: bool) -> DataFrame:
-    """`id, digest, tokens` of (at least) the documents in `ids`; a bitmap keeps most others out of the result."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(ids, FILTER_BITS))
+                c = class_of(s)
+                if c not in held:
+                    held[c] = s
+                    n_held += len(s)
+                if n_held >= CHUNK_TOKENS:
+                    yield chunk_rows(list(held), list(held.values()))
+                    held, n_held = {}, 0
+        if held:
+            yield chunk_rows(list(held), list(held.values()))
+
+    return docs.select("text").mapInPandas(run, "rng int, blob binary")
+
+
+def shared_tokens(blobs: DataFrame, ranges: int) -> DataFrame:
+    """`class, blob`: tokens of the class that another class has too, and in how many classes each is."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(b) for b in rows["blob"]]
+        names = np.concatenate([np.repeat(c, k) for c, k, _ in parts])
+        wide = np.zeros((len(names), 8), np.uint8)
+        wide[:, :6] = np.concatenate([t for _, _, t in parts]).reshape(-1, 6)
+        token = wide.view("<u8").ravel() | (np.uint64(int(rows["rng"].iloc[0]) % (1 << 16)) << np.uint64(48))
+        order = np.argsort(token)
+        t = token[order]
+        twin = np.zeros(len(t), bool)
+        twin[1:] = t[1:] == t[:-1]
+        twin[:-1] |= twin[1:]
+        order = order[twin]
+        token, names = token[order], names[order]
+        by = np.lexsort((names, token))
+        token, names = token[by], names[by]
+        if len(token):
+            once = np.concatenate([[True], (token[1:] != token[:-1]) | (names[1:] != names[:-1])])
+            token, names = token[once], names[once]
+        _, place, count = np.unique(token, return_inverse=True, return_counts=True)
+        count = count[place] if len(token) else count
+        keep = count > 1
+        token, names, count = token[keep], names[keep], count[keep]
+        by = np.argsort(names, kind="stable")
+        token, names, count = token[by], names[by], count[by]
+        own, first = np.unique(names, return_index=True)
+        ends = [*first[1:], len(names)]
+        return pd.DataFrame({"class": own, "blob": pd.Series([
+            pack(token[a:b], narrow(count[a:b])) for a, b in zip(first, ends, strict=True)], dtype=object)})
+
+    return blobs.groupBy("rng").applyInPandas(run, "class long, blob binary")
+
+
+def candidates_of(shared: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """`class, size, tokens, prefix`: shared tokens, rare first, of the classes that have enough of them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, bits = WordHashes(), wanted.value
         for frame in frames:
-            frame = frame[bits[frame["at"].to_numpy(np.int64)]]
-            sets = [ngrams(t, n, memo, fold_case) for t in frame["text"]]
+            out = []
+            for c, size, blobs in zip(frame["class"], frame["size"], frame["blobs"], strict=True):
+                token, count = (np.concatenate(x) for x in zip(*[unpack(b) for b in blobs], strict=True))
+                need = least_overlap(size, percent)
+                if len(token) < need:
+                    continue
+                token = token[np.lexsort((token, count))].view(np.int64)
+                length = size - need + k - (size - len(token))  # the class's own tokens come first in the order
+                out.append((c, size, token, token[: max(length, 0)]))
             yield pd.DataFrame({
-                "id": frame["doc_id"].to_numpy(),
-                "digest": pd.Series([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], dtype=object),
-                "tokens": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
-
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
-    found = rows.mapInPandas(run, "id long, digest binary, tokens array<long>")
-    return written(found.join(ids, "id", "left_semi"), "sets")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, fold_case: bool) -> DataFrame:
-    """The pairs (a, b) of classes that are linked, by their exact sets."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(
-        classes.select("class", F.col("doc_id").alias("id"), "digest"), "class"), "ids")
-    sets = sets_of(docs, ids.select("id").distinct(), n, fold_case)
-    sets = written(sets.join(ids, ["id", "digest"]).dropDuplicates(["class", "digest"]), "class-sets")
-    left, right = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t_{c}")) for c in "ab")
+                "class": np.array([x[0] for x in out], np.int64), "size": np.array([x[1] for x in out], np.int64),
+                "tokens": pd.Series([x[2] for x in out], dtype=object), "prefix": pd.Series([x[3] for x in out], dtype=object)})
+
+    per = shared.groupBy("class").agg(F.collect_list("blob").alias("blobs")).join(classes.select("class", "size"), "class")
+    return per.select("class", "size", "blobs").mapInPandas(
+        run, "class long, size long, tokens array<long>, prefix array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked."""
+    left, right = (sets.select(
+        F.col("class").alias(c), F.col("size").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}")) for c in "ab")
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("t_a", "t_b"))
-    union = F.size("t_a") + F.size("t_b") - common
-    return written(both.where(common * 100 >= union * percent).select("a", "b").distinct(), "links")
+    union = F.col("n_a") + F.col("n_b") - common
+    return written(both.where(common * 100 >= union * percent).select("a", "b"), "links")
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -154,9 +215,9 @@ def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
 
 def _pairs(entries: DataFrame, key: str, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a key."""
-    mixed_keys = entries.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
+    open_keys = entries.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
         "lo < hi").select(key)
-    few = written(entries.join(mixed_keys, key, "left_semi").select(key, "class", "size", "component"), "open")
+    few = written(entries.join(open_keys, key, "left_semi").select(key, "class", "size", "component"), "open")
     a, b = few.alias("a"), few.alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.class") < F.col("b.class")) & (
         F.col("a.component") != F.col("b.component")) & _near_sizes(F.col("a.size"), F.col("b.size"), percent)
@@ -182,6 +243,26 @@ def _combined(entries: DataFrame, k: int) -> DataFrame:
     return grouped.mapInPandas(run, "combo long, class long, size long, component long")
 
 
+def links_between(sets: DataFrame, percent: int, rare: int, k: int) -> DataFrame:
+    """Links (a, b) that connect all classes of each component; `sets` as `candidates_of` returns them."""
+    index = written(sets.select("class", "size", F.explode("prefix").alias("token")), "index")
+    lead = index.groupBy("token").agg(F.min(F.struct("class", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = written(index.join(lead.select("token", "lead"), "token"), "entries")
+    stars = written(entries.where(
+        (F.col("class") != F.col("lead.class")) & _near_sizes(F.col("size"), F.col("lead.size"), percent)
+    ).select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "stars")
+    links = verified(stars, sets, percent)
+    entries = written(_with_component(entries.select("token", "class", "size"), links), "labelled")
+    spread = entries.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
+    entries = written(entries.join(spread, "token"), "unsettled")
+    pairs = _pairs(entries.where(F.col("n_components") <= rare), "token", percent)
+    frequent = entries.where(F.col("n_components") > rare)
+    if not frequent.isEmpty():
+        pairs = pairs.unionByName(_pairs(_combined(frequent, k), "combo", percent)).distinct()
+    return links.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent))
+
+
 def similar_documents(
     docs: DataFrame, n: int = 5, percent: int = 80, fold_case: bool = True, rare: int = RARE, k: int = K,
     id_col: str = "doc_id", text_col: str = "text",
@@ -191,49 +272,38 @@ def similar_documents(
     `class_id` is the smallest id with the same set, `component_id` the smallest id reachable by links. For
     documents without words both are the document's own id.
     """
-    spark: SparkSession = docs.sparkSession
     rows = columns(docs, doc_id=id_col, text=text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cells = spark.sparkContext.broadcast(count_table(rows, n, fold_case))
-    sketch = written(sketches(rows, n, percent, fold_case, cells, k), "sketch")
+    sketch = written(sketches(rows, n, fold_case), "sketch")
     some = sketch.where("size > 0")
-    classes = written(some.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"),
-    ).withColumn("class", F.col("doc_id")), "classes")
-    entries = classes.where(F.size("prefix") > 0).select("class", "size", F.explode("prefix").alias("token"))
-    met = entries.groupBy("token").agg(F.min(F.struct("class", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = written(entries.join(met.select("token", "lead"), "token"), "entries")
-    stars = entries.where((F.col("class") != F.col("lead.class")) & _near_sizes(F.col("size"), F.col("lead.size"), percent)).select(
-        F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct()
-    links = verified(stars, rows, classes, n, percent, fold_case)
-    entries = _with_component(entries.select("token", "class", "size"), links)
-    spread = entries.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
-    entries = written(entries.join(spread, "token"), "open-entries")
-    pairs = _pairs(entries.where(F.col("n_components") <= rare), "token", percent)
-    frequent = entries.where(F.col("n_components") > rare)
-    if not frequent.isEmpty():
-        pairs = pairs.unionByName(_pairs(_combined(frequent, k), "combo", percent)).distinct()
-    more = verified(pairs.join(stars, ["a", "b"], "left_anti"), rows, classes, n, percent, fold_case)
-    twice = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
-    own = some.join(twice.select("doc_id"), "doc_id").join(classes.select("digest", "class"), "digest").select("doc_id", "class")
-    tied = own.join(own.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").select("a", F.col("class").alias("b"))
-    found = components(links.unionByName(more).unionByName(tied.where("a <> b"))).select(
-        F.col("node").alias("class"), "component")
-    groups = written(classes.select("digest", "class").join(found, "class", "left").select(
-        "digest", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")), "groups")
-    counted = written(some.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows")).join(groups, "digest"), "counted")
-    linked = attach(some.select("doc_id", "size", "digest"), counted, "digest", "_rows")
+    classes = written(some.groupBy("class").agg(
+        F.min("doc_id").alias("class_id"), F.any_value("size").alias("size"), F.count(F.lit(1)).alias("n_docs")), "classes")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    ranges = parts_for(total, RANGE_TOKENS)
+    shared = written(shared_tokens(token_blobs(rows, n, percent, fold_case, ranges), ranges), "shared")
+    sets = written(candidates_of(shared, classes, percent, k), "sets")
+    links = links_between(sets, percent, rare, k)
+    member = components(links).select(F.col("node").alias("class"), "component")
+    inside = classes.join(member, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    inside = written(inside, "inside")
+    groups = written(inside.groupBy("component").agg(
+        F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes")), "groups")
+    named = written(attach(inside.select("class", "class_id", "n_docs", "component"), groups, "component", "n_classes").select(
+        "class", "class_id", "component_id", "n_docs"), "named")
+    linked = attach(some, named, "class", "n_docs").select("doc_id", "size", "class_id", "component_id")
     empty = sketch.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    every = linked.select("doc_id", "size", "class_id", "component_id").unionByName(empty)
-    id_or_null = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id", "component_id")]
-    return every.select(id_or_null[0], F.col("size").alias("n_shingles"), *id_or_null[1:])
+    every = linked.unionByName(empty)
+    ids = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id", "component_id")]
+    return every.select(ids[0], F.col("size").alias("n_shingles"), *ids[1:])
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, fold_case: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all their columns."""
+    """The rows of `docs` that stay, with all their columns: those whose id is the smallest of a component.
+
+    Rows that repeat an id stay or go together: they stay if one of them has the smallest id of its component.
+    """
     found = similar_documents(docs, n, percent, fold_case, id_col=id_col, text_col=text_col)
     gone, = spare(docs, "_gone")
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    drop = found.groupBy(F.col("doc_id").alias(gone)).agg(F.max(own).alias("stays")).where("not stays").select(gone)
     return docs.join(drop, docs[id_col].eqNullSafe(F.col(gone)), "left_anti")
-

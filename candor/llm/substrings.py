@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import WordHashes, columns, mixed, parts_for, written
+from candor.llm.common import WordHashes, columns, mixed, narrow, pack, parts_for, unpack
 
 SIZE = 20
 RANGE_WINDOWS = 1 << 21
@@ -51,28 +51,6 @@ def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * _powers(base, len(words))[size - 1 :]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length each, as bytes behind their lengths and types."""
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return len(head).to_bytes(2, "little") + head + b"".join(a.tobytes() for a in arrays)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:2], "little")
-    at, out = 2 + n, []
-    for kind, size in (x.split(",") for x in blob[2:at].decode().split(";")):
-        a = np.frombuffer(blob, np.dtype(kind), int(size), at)
-        at += a.nbytes
-        out.append(a)
-    return out
-
-
-def _narrow(a: np.ndarray) -> np.ndarray:
-    """The smallest unsigned type that holds `a`."""
-    top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 class Chunk:
     """The windows of some documents of one task: their keys, documents and starts."""
 
@@ -137,12 +115,12 @@ def _blob(key: np.ndarray, doc: np.ndarray, start: np.ndarray, ids: np.ndarray,
     gaps = np.diff(start.astype(np.int64), prepend=0)
     gaps[first] = start[first]
     key7 = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).ravel()
-    return _pack(ids[docs], shas[docs], _narrow(counts), _narrow(gaps), key7)
+    return pack(ids[docs], shas[docs], narrow(counts), narrow(gaps), key7)
 
 
 def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Back to per-entry keys and starts, with the ids and text hashes of their documents."""
-    ids, shas, counts, gaps, key7 = _unpack(blob)
+    ids, shas, counts, gaps, key7 = unpack(blob)
     counts, gaps = counts.astype(np.int64), gaps.astype(np.int64)
     runs = np.cumsum(gaps)
     ends = np.cumsum(counts)
@@ -160,14 +138,14 @@ def _marks(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray) -> bytes:
     at = np.flatnonzero(new)
     gaps = np.diff(starts, prepend=0)
     gaps[at] = starts[at]
-    return _pack(ids[at], shas[at], _narrow(np.diff(np.append(at, len(ids)))), _narrow(gaps))
+    return pack(ids[at], shas[at], narrow(np.diff(np.append(at, len(ids)))), narrow(gaps))
 
 
 def _by_document(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
-    ids, shas, counts, gaps = _unpack(blob)
+    ids, shas, counts, gaps = unpack(blob)
     at = 0
     for doc_id, sha, n in zip(ids.tolist(), shas.tolist(), counts.tolist(), strict=True):
-        yield doc_id, sha, _pack(gaps[at : at + n])
+        yield doc_id, sha, pack(gaps[at : at + n])
         at += n
 
 
@@ -262,7 +240,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
                 if blobs is None or not len(blobs):
                     out.append((len(words), 0, b" ".join(words).decode(), []))
                     continue
-                starts = np.concatenate([np.cumsum(_unpack(b)[0].astype(np.int64)) for b in blobs])
+                starts = np.concatenate([np.cumsum(unpack(b)[0].astype(np.int64)) for b in blobs])
                 gone = intervals(np.sort(starts), size)
                 kept, at = [], 0
                 for a, b in gone:

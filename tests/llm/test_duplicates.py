@@ -121,7 +121,7 @@ def plain_near(table, n, percent):
     for i, (a, s) in enumerate(sets):
         for j in range(i):
             b, t = sets[j]
-            if (s and t and 100 * len(s & t) >= percent * len(s | t)) or (a == b and s and t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 comp[root(i)] = root(j)
     least = {}
     for i, (a, _) in enumerate(sets):
