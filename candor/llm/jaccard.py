@@ -9,8 +9,10 @@ A document's set is its distinct n-grams of words (a shorter text is one n-gram)
    counts. A class of size n with fewer than percent * n / 100 of those is linked with nothing and is done.
 3. The global order of tokens is rare first (count, then hash). Linked sets share `k` tokens among their first
    n - ceil(percent * n / 100) + k, the extended prefix; only its shared tokens are indexed.
-4. Every class is verified against the smallest class of each of its indexed tokens: one pair per index entry,
-   so a group of thousands of near copies becomes one component without being expanded into pairs.
+4. Every class is verified against the most central class of each of its indexed tokens (the one whose tokens
+   most classes share): one pair per index entry, so a group of thousands of near copies becomes one component
+   without being expanded into pairs. Further rounds take another class of each token, while they find links.
+   Pairs whose shared tokens are too few for a link, or lie too late in the order, are not formed.
 5. Tokens all of whose classes are now in one component are done. Of the others, tokens met in at most
    `rare` components are indexed one by one; frequent ones by combinations of k of them, since linked
    sets without a common rare token share k frequent ones. Pairs across components are verified exactly:
@@ -52,6 +54,8 @@ from candor.llm.common import (
 
 RARE = 32
 K = 2
+ROUNDS = 5
+ENTRY = ["class", "size", "shared", "behind"]
 RANGE_TOKENS = 1 << 21
 CHUNK_TOKENS = 1 << 21
 NULL_ID = -(2**63)
@@ -137,7 +141,7 @@ def token_blobs(docs: DataFrame, n: int, percent: int, fold_case: bool, ranges:
 
 
 def shared_tokens(blobs: DataFrame, ranges: int) -> DataFrame:
-    """`class, blob`: tokens of the class that another class has too, and in how many classes each is."""
+    """`bucket, blob`: the tokens that several classes have, with these classes and their number, packed by class bucket."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(b) for b in rows["blob"]]
@@ -161,37 +165,43 @@ def shared_tokens(blobs: DataFrame, ranges: int) -> DataFrame:
         count = count[place] if len(token) else count
         keep = count > 1
         token, names, count = token[keep], names[keep], count[keep]
-        by = np.argsort(names, kind="stable")
-        token, names, count = token[by], names[by], count[by]
-        own, first = np.unique(names, return_index=True)
-        ends = [*first[1:], len(names)]
-        return pd.DataFrame({"class": own, "blob": pd.Series([
-            pack(token[a:b], narrow(count[a:b])) for a, b in zip(first, ends, strict=True)], dtype=object)})
+        bucket = names % ranges
+        by = np.lexsort((names, bucket))
+        token, names, count, bucket = token[by], names[by], count[by], bucket[by]
+        own, first = np.unique(bucket, return_index=True)
+        blobs = [pack(names[a:b], token[a:b], narrow(count[a:b])) for a, b in zip(first, [*first[1:], len(names)], strict=True)]
+        return pd.DataFrame({"bucket": own.astype(np.int32), "blob": pd.Series(blobs, dtype=object)})
 
-    return blobs.groupBy("rng").applyInPandas(run, "class long, blob binary")
+    return blobs.groupBy("rng").applyInPandas(run, "bucket int, blob binary")
 
 
-def candidates_of(shared: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """`class, size, tokens, prefix`: shared tokens, rare first, of the classes that have enough of them."""
+def candidates_of(shared: DataFrame, classes: DataFrame, percent: int, k: int, ranges: int) -> DataFrame:
+    """`class, size, shared, central, tokens, prefix` of the classes that have enough shared tokens.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for c, size, blobs in zip(frame["class"], frame["size"], frame["blobs"], strict=True):
-                token, count = (np.concatenate(x) for x in zip(*[unpack(b) for b in blobs], strict=True))
-                need = least_overlap(size, percent)
-                if len(token) < need:
-                    continue
-                token = token[np.lexsort((token, count))].view(np.int64)
-                length = size - need + k - (size - len(token))  # the class's own tokens come first in the order
-                out.append((c, size, token, token[: max(length, 0)]))
-            yield pd.DataFrame({
-                "class": np.array([x[0] for x in out], np.int64), "size": np.array([x[1] for x in out], np.int64),
-                "tokens": pd.Series([x[2] for x in out], dtype=object), "prefix": pd.Series([x[3] for x in out], dtype=object)})
+    `tokens` are the `shared` ones, rare first; `central` is the mean number of classes they are in, negated.
+    """
 
-    per = shared.groupBy("class").agg(F.collect_list("blob").alias("blobs")).join(classes.select("class", "size"), "class")
-    return per.select("class", "size", "blobs").mapInPandas(
-        run, "class long, size long, tokens array<long>, prefix array<long>")
+    def run(sizes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(sizes) and len(rows):
+            names, token, count = (np.concatenate(x) for x in zip(*[unpack(b) for b in rows["blob"]], strict=True))
+            by = np.lexsort((token, count, names))
+            names, token, count = names[by], token[by].view(np.int64), count[by]
+            own, first, n_shared = np.unique(names, return_index=True, return_counts=True)
+            size = pd.Series(sizes["size"].to_numpy(), index=sizes["class"]).loc[own].to_numpy()
+            need = least_overlap(size, percent)
+            for i in np.flatnonzero(n_shared >= need):
+                at, r, n = first[i], int(n_shared[i]), int(size[i])
+                length = max(r - int(need[i]) + k, 0)  # the class's own tokens come first in the order
+                out.append((own[i], n, r, -count[at : at + r].mean(), token[at : at + r], token[at : at + min(length, r)]))
+        frame = pd.DataFrame({c: [x[j] for x in out] for j, c in enumerate(("class", "size", "shared", "central"))})
+        frame = frame.astype({"class": "int64", "size": "int64", "shared": "int64", "central": "float64"})
+        return frame.assign(**{c: pd.Series([x[j] for x in out], dtype=object) for j, c in ((4, "tokens"), (5, "prefix"))})
+
+    bucket = F.pmod(F.col("class"), F.lit(ranges)).cast("int")
+    left = classes.select("class", "size", bucket.alias("bucket")).groupBy("bucket")
+    return left.cogroup(shared.groupBy("bucket")).applyInPandas(
+        run, "class long, size long, shared long, central double, tokens array<long>, prefix array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,8 +214,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.where(common * 100 >= union * percent).select("a", "b"), "links")
 
 
-def _near_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(a: str, b: str, percent: int, k: int) -> Column:
+    """Whether two entries of one key can belong to a linked pair.
+
+    No intersection is larger than the fewer of the shared tokens; and if the key is among the first k common
+    tokens, as it is for some key of every linked pair, not larger than k and what either side has behind it.
+    """
+    most = F.least(*[F.col(f"{x}.shared") for x in (a, b)], *[F.col(f"{x}.behind") + k for x in (a, b)])
+    return most * 100 >= (F.col(f"{a}.size") + F.col(f"{b}.size") - most) * percent
 
 
 def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,14 +229,14 @@ def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _pairs(entries: DataFrame, key: str, percent: int) -> DataFrame:
+def _pairs(entries: DataFrame, key: str, percent: int, k: int) -> DataFrame:
     """Pairs of classes of different components that share a key."""
     open_keys = entries.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
         "lo < hi").select(key)
-    few = written(entries.join(open_keys, key, "left_semi").select(key, "class", "size", "component"), "open")
+    few = written(entries.join(open_keys, key, "left_semi").select(key, *ENTRY, "component"), "open")
     a, b = few.alias("a"), few.alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.class") < F.col("b.class")) & (
-        F.col("a.component") != F.col("b.component")) & _near_sizes(F.col("a.size"), F.col("b.size"), percent)
+        F.col("a.component") != F.col("b.component")) & _may_link("a", "b", percent, k)
     return a.join(b, on).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
@@ -229,38 +245,51 @@ def _combined(entries: DataFrame, k: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for c, size, comp, tokens in zip(frame["class"], frame["size"], frame["component"], frame["tokens"], strict=True):
-                t = np.sort(np.asarray(tokens, np.int64)).view(np.uint64)
-                for i in range(len(t) - k + 1):
-                    rest = np.array(list(combinations(range(i + 1, len(t)), k - 1)), np.int64).reshape(-1, k - 1)
-                    key = np.full(len(rest), t[i], np.uint64)
-                    for j in range(k - 1):
-                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + t[rest[:, j]])
-                    yield pd.DataFrame({"combo": key.view(np.int64), "class": c, "size": size, "component": comp})
-
-    grouped = entries.groupBy("class", "size", "component").agg(F.collect_set("token").alias("tokens")).where(
-        F.size("tokens") >= k)
-    return grouped.mapInPandas(run, "combo long, class long, size long, component long")
-
-
-def links_between(sets: DataFrame, percent: int, rare: int, k: int) -> DataFrame:
+            for c, size, shared, comp, held in zip(*[frame[x] for x in ("class", "size", "shared", "component", "held")], strict=True):
+                tokens = np.array([x["token"] for x in held], np.int64).view(np.uint64)
+                behind = np.array([x["behind"] for x in held], np.int64)
+                sets = np.array(list(combinations(range(len(held)), k)), np.int64)
+                key = np.zeros(len(sets), np.uint64)
+                for j in range(k):
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + tokens[sets[:, j]])
+                yield pd.DataFrame({
+                    "combo": key.view(np.int64), "class": c, "size": size, "shared": shared,
+                    "behind": behind[sets].min(1), "component": comp})
+
+    grouped = entries.groupBy("class", "size", "shared", "component").agg(
+        F.sort_array(F.collect_list(F.struct("token", "behind"))).alias("held")).where(F.size("held") >= k)
+    return grouped.mapInPandas(run, "combo long, class long, size long, shared long, behind long, component long")
+
+
+def links_between(sets: DataFrame, percent: int, rare: int, k: int, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) that connect all classes of each component; `sets` as `candidates_of` returns them."""
-    index = written(sets.select("class", "size", F.explode("prefix").alias("token")), "index")
-    lead = index.groupBy("token").agg(F.min(F.struct("class", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = written(index.join(lead.select("token", "lead"), "token"), "entries")
-    stars = written(entries.where(
-        (F.col("class") != F.col("lead.class")) & _near_sizes(F.col("size"), F.col("lead.size"), percent)
-    ).select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    links = verified(stars, sets, percent)
-    entries = written(_with_component(entries.select("token", "class", "size"), links), "labelled")
+    index = written(sets.select("class", "size", "shared", "central", F.posexplode("prefix").alias("pos", "token")).withColumn(
+        "behind", (F.col("shared") - F.col("pos") - 1).cast("long")).drop("pos"), "index")
+    entries = index.withColumn("component", F.col("class"))
+    links, checked = None, None
+    for turn in range(rounds):
+        several = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        entries = written(entries.join(several.where("lo < hi").select("token"), "token", "left_semi"), "unsettled")
+        first = F.col("central") if turn == 0 else F.xxhash64(F.lit(turn), "token", "class").cast("double")
+        lead = entries.groupBy("token").agg(F.min(F.struct(first.alias("first"), *ENTRY, "component")).alias("lead"))
+        own = entries.select("token", F.struct(*ENTRY, "component").alias("own")).join(lead, "token")
+        stars = own.where((F.col("own.component") != F.col("lead.component")) & _may_link("own", "lead", percent, k)).select(
+            F.least("lead.class", "own.class").alias("a"), F.greatest("lead.class", "own.class").alias("b")).distinct()
+        stars = written(stars.join(checked, ["a", "b"], "left_anti") if checked else stars, "stars")
+        new = verified(stars, sets, percent)
+        links = links.unionByName(new) if links else new
+        checked = checked.unionByName(stars) if checked else stars
+        entries = written(_with_component(entries.drop("component"), links), "labelled")
+        if new.count() * 20 < stars.count():
+            break
     spread = entries.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
     entries = written(entries.join(spread, "token"), "unsettled")
-    pairs = _pairs(entries.where(F.col("n_components") <= rare), "token", percent)
+    pairs = _pairs(entries.where(F.col("n_components") <= rare), "token", percent, k)
     frequent = entries.where(F.col("n_components") > rare)
     if not frequent.isEmpty():
-        pairs = pairs.unionByName(_pairs(_combined(frequent, k), "combo", percent)).distinct()
-    return links.unionByName(verified(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent))
+        pairs = pairs.unionByName(_pairs(_combined(frequent, k), "combo", percent, k)).distinct()
+    return links.unionByName(verified(pairs.join(checked, ["a", "b"], "left_anti"), sets, percent))
 
 
 def similar_documents(
@@ -281,7 +310,7 @@ def similar_documents(
     total = classes.agg(F.sum("size")).first()[0] or 0
     ranges = parts_for(total, RANGE_TOKENS)
     shared = written(shared_tokens(token_blobs(rows, n, percent, fold_case, ranges), ranges), "shared")
-    sets = written(candidates_of(shared, classes, percent, k), "sets")
+    sets = written(candidates_of(shared, classes, percent, k, ranges), "sets")
     links = links_between(sets, percent, rare, k)
     member = components(links).select(F.col("node").alias("class"), "component")
     inside = classes.join(member, "class", "left").withColumn("component", F.coalesce("component", "class"))
