@@ -36,103 +36,111 @@ _SIMPLE = re.compile(
     r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 
 
-class WordTokens:
+class WordTokens(dict):
     """Token ids of white-space separated words, encoded once each; forgets all words at `limit`.
 
     The tokenizer drops white space before it does anything else that spans characters, so a text's ids are
-    its words' ids in order. A simple word is looked up by its lower-case letters and by its marks.
+    its words' ids in order. A word gets a number when it is first met; `starts` and `lengths` say where in
+    `pool` its ids are. A simple word is looked up by its lower-case letters and by its marks. The empty
+    word, which no text holds, stands for the end token.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, end: int = 0, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.clear()
+        self.end, self.limit = end, limit
+        self.forget()
 
-    def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[str, int] = {}
+    def forget(self) -> None:
+        self.clear()
+        self.parts: dict[str, np.ndarray] = {}
+        self.new: list[bytes] = []
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
-
-    def _add(self, ids: np.ndarray) -> int:
-        n = len(ids)
-        if self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(n, len(self.pool)), np.uint32)])
-        self.pool[self.used : self.used + n] = ids
-        self.starts.append(self.used)
-        self.lengths.append(n)
-        self.used += n
-        return len(self.starts) - 1
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode the words not seen before, as one batch."""
-        texts: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.n = self.used = 0
+        self._add([np.array([self.end], np.uint32)])
+        self[b""] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self.n + len(self.new)
+        self.new.append(word)
+        return n
+
+    def _add(self, ids: list[np.ndarray]) -> None:
+        """Number the next `len(ids)` words."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + len(ids) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[self.n : self.n + len(ids)] = sizes
+        self.used += len(flat)
+        self.n += len(ids)
+
+    def _learn(self) -> None:
+        """Encode the words numbered since the last time, as one batch."""
         plans = []
-        for w in words:
-            s = w.decode()
+        texts: dict[str, None] = {}
+        for word in self.new:
+            s = word.decode()
             m = _SIMPLE.fullmatch(s)
-            plan = [p for p in (m[1].lower(), m[2]) if p] if m else [s]
+            plan = ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (s,)
             plans.append(plan)
-            for p in plan:
-                if p not in self.parts and p not in texts:
-                    texts[p] = len(texts)
-        if texts:
-            batch = list(texts)
-            for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                self.parts[p] = self._add(np.array(e.ids, np.uint32))
-        for w, plan in zip(words, plans, strict=True):
-            if len(plan) == 1:
-                self.words[w] = self.parts[plan[0]]
-            else:
-                self.words[w] = self._add(np.concatenate([self._ids(self.parts[p]) for p in plan]))
-
-    def _ids(self, n: int) -> np.ndarray:
-        return self.pool[self.starts[n] : self.starts[n] + self.lengths[n]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [t.encode().split() for t in texts]
-        if len(self.words) > self.limit:
-            self.clear()
-        self._learn(list({w for words in split for w in words if w not in self.words}))
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
-        out = []
-        for words in split:
-            n = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            size = lengths[n]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(starts[n] - (ends - size), size) + np.arange(total)
-            out.append(self.pool[at])
-        return out
+            texts.update((p, None) for p in plan if p not in self.parts)
+        batch = list(texts)
+        for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, np.uint32)
+        parts = self.parts
+        self._add([parts[p[0]] if len(p) == 1 else np.concatenate([parts[p[0]], parts[p[1]]]) for p in plans])
+        self.new = []
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with its end token, and where each text ends."""
+        if len(self) > self.limit:
+            self.forget()
+        words: list[bytes] = []
+        counts = []
+        for t in texts:
+            own = t.encode().split()
+            words += own
+            words.append(b"")
+            counts.append(len(own) + 1)
+        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self._learn()
+        size = self.lengths[n]
+        ends = np.cumsum(size)
+        at = np.repeat(self.starts[n] - (ends - size), size) + np.arange(int(ends[-1]))
+        return self.pool[at], ends[np.cumsum(counts) - 1]
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> WordTokens:
-    return WordTokens(path)
+def _words(path: str, end: int) -> WordTokens:
+    return WordTokens(path, end)
 
 
 def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, batch_chars: int = 1 << 21) -> DataFrame:
     """The pieces of every document (`doc_id, text`): at most `length` ids each, full ones first."""
 
     def cut(doc_ids: list, texts: list[str]) -> pd.DataFrame:
-        rows = []
-        for doc_id, ids in zip(doc_ids, _words(path).encode(texts), strict=True):
-            ids = np.append(ids, np.uint32(end)).astype("<u4")
-            for k, start in enumerate(range(0, len(ids), length)):
-                piece = ids[start : start + length]
-                rows.append((k, start, len(piece), zlib.crc32(piece.tobytes())))
-            doc_count.append(len(range(0, len(ids), length)))
-        frame = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-        frame.insert(0, "doc_id", pd.array(doc_ids, dtype="Int64").repeat(doc_count))
-        doc_count.clear()
-        return frame
-
-    doc_count: list[int] = []
+        ids, ends = _words(path, end).encode(texts)
+        raw = memoryview(ids.astype("<u4")).cast("B")
+        begins = np.concatenate([[0], ends[:-1]])
+        counts = -(-(ends - begins) // length)
+        piece = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = piece * length
+        low = np.repeat(begins, counts) + start
+        high = np.minimum(low + length, np.repeat(ends, counts))
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        return pd.DataFrame({
+            "doc_id": pd.array(doc_ids, dtype="Int64").repeat(counts), "piece": piece.astype(np.int32), "start": start,
+            "length": high - low, "ids_crc32": np.array(crc, np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -125,7 +125,7 @@ def test_components_of_paths_and_stars(llm):
 def test_word_tokens_are_the_texts_tokens(parts, gap):
     text = gap.join(parts)
     want = FULL.encode(text, add_special_tokens=False).ids
-    assert MEMO.encode([text])[0].tolist() == want
+    assert MEMO.encode([text, text])[0].tolist() == [*want, 0, *want, 0]
 
 
 FULL, MEMO = Tokenizer.from_file(TOKENS), packing.WordTokens(TOKENS)
@@ -134,7 +134,7 @@ FULL, MEMO = Tokenizer.from_file(TOKENS), packing.WordTokens(TOKENS)
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_word_tokens_of_any_text(text):
-    assert MEMO.encode([text])[0].tolist() == FULL.encode(text, add_special_tokens=False).ids
+    assert MEMO.encode([text])[0].tolist() == [*FULL.encode(text, add_special_tokens=False).ids, 0]
 
 
 @pytest.mark.parametrize("name", ["edge", "docs"])
