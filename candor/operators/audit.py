@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.fixed_values import (
-    CROSS_TAB_LIMIT,
     EARLIEST_UNIX,
     HELPFUL_PATTERN,
     LATEST_UNIX,
     METRIC_COLUMN,
     METRIC_KEYS,
-    VALUE_COUNT_LIMIT,
     VERY_LONG_TEXT,
     VERY_SHORT_BATCH,
 )
@@ -45,14 +43,13 @@ def empty_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
     return raw.groupBy(SOURCE).agg(F.count_if(every).alias("empty_rows"))
 
 
-def value_counts(raw: DataFrame, columns: list[str], limit: int = VALUE_COUNT_LIMIT) -> DataFrame:
-    """Most frequent stripped values per low-cardinality column."""
+def value_counts(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows per stripped value of each column."""
     cells = raw.select(SOURCE, *[F.coalesce(strip(F.col(c)), F.lit("")).alias(c) for c in columns])
-    counts = (
+    return (
         cells.unpivot([SOURCE], columns, "column", "value")
         .groupBy(SOURCE, "column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    return first_rows(counts, [SOURCE, "column"], [F.desc("n"), "value"], limit)
 
 
 def numeric_profile(raw: DataFrame, columns: list[str]) -> DataFrame:
@@ -157,15 +154,14 @@ def metric_key_profile(raw: DataFrame, column: str = METRIC_COLUMN) -> DataFrame
     )
 
 
-def cross_tabs(raw: DataFrame, pairs: list[tuple[str, str]], limit: int = CROSS_TAB_LIMIT) -> DataFrame:
-    """Counts of value pairs, the most frequent `limit` per source and pair."""
+def cross_tabs(raw: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows per source and pair of values."""
     cell = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
     items = F.array(*[F.struct(F.lit(f"{a} x {b}").alias("pair"), cell(a).alias("a"), cell(b).alias("b")) for a, b in pairs])
-    counts = (
+    return (
         raw.select(SOURCE, F.explode(items).alias("i")).groupBy(SOURCE, "i.pair", "i.a", "i.b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return first_rows(counts, [SOURCE, "pair"], [F.desc("n"), "a", "b"], limit)
 
 
 def id_format(raw: DataFrame) -> DataFrame:

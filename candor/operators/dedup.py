@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,16 +51,9 @@ def common_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def uniform_sample(rows: DataFrame, size: int, key: list[str], seed: int = 7) -> DataFrame:
-    """A uniform sample of `size` rows, the whole table when it is not larger.
+    """A uniform sample of `size` rows (all rows if there are no more), the smallest by a seeded hash of `key`.
 
-    Rows are ranked by a seeded hash of `key`; a generous hash threshold first cuts the table down in
-    parallel, so only about `size` rows reach the final top-k.
+    Every task keeps its own `size` smallest, so no more than that leaves it.
     """
-    total = rows.count()
-    if total <= size:
-        return rows
-    share = min(1.0, (size + 8.0 * math.sqrt(size) + 50.0) / total)
     place = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    threshold = int(-(2**63) + share * (2**64 - 1))
-    near = rows.withColumn("_place", place).filter(F.col("_place") <= F.lit(min(threshold, 2**63 - 1)))
-    return near.orderBy("_place", *key).limit(size).drop("_place")
+    return rows.withColumn("_place", place).orderBy("_place", *key).limit(size).drop("_place")

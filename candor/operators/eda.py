@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candor.fixed_values import HIGH_CORRELATION, PROFILE_PROBABILITIES, SPEARMAN_SAMPLE_ROWS
+from candor.fixed_values import HIGH_CORRELATION, PROFILE_PROBABILITIES
 from candor.functions.columns import divide, one_row
-from candor.functions.ranks import exact_quantiles, value_histogram
-from candor.operators.dedup import uniform_sample
+from candor.functions.ranks import exact_quantiles, running_totals, value_histogram
 
 
 def column_profile(
@@ -210,30 +209,34 @@ def high_pairs(correlations: DataFrame, limit: float = HIGH_CORRELATION) -> Data
     return correlations.filter(F.abs("r") >= limit).orderBy(F.desc(F.abs("r")), "a", "b")
 
 
-def spearman(df: DataFrame, columns: list[str], key: list[str], sample: int = SPEARMAN_SAMPLE_ROWS) -> DataFrame:
-    """(a, b, n, rho) on a uniform sample: Pearson of average ranks, ranked per pair over present rows.
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, n, rho): Pearson of the average ranks of all rows where both columns are present.
 
-    The sample size bounds every rank window. Values are compared to 9 decimals, so that the order in
-    which floats were summed does not split ties.
+    Rows fold to one per pair and values; ranks come from running totals over the distinct values of each
+    pair, so no task holds a whole column. Values are compared to 9 decimals, so that the order in which
+    floats were summed does not split ties.
     """
-    rows = uniform_sample(df, sample, key).select(*[F.round(F.col(c).cast("double"), 9).alias(c) for c in columns])
+    rows = df.select(*[(F.round(F.col(c).cast("double"), 9) + 0.0).alias(c) for c in columns])
     pairs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for i, a in enumerate(columns) for b in columns[i + 1:]
+        F.struct(F.lit(f"{i},{j}").alias("pair"), F.col(columns[i]).alias("x"), F.col(columns[j]).alias("y"))
+        for i in range(len(columns)) for j in range(i + 1, len(columns))
     ]
     long = rows.select(F.inline(F.array(*pairs))).filter("x IS NOT NULL AND y IS NOT NULL")
-
-    def average_rank(value: str) -> Column:
-        w = Window.partitionBy("a", "b")
-        ties = F.count(F.lit(1)).over(w.partitionBy("a", "b", value))
-        return F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0
-
-    ranked = long.select("a", "b", average_rank("x").alias("x"), average_rank("y").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    sums = ranked.groupBy("a", "b").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"),
-        F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"),
-    )
+    folded = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("m"))
+
+    def ranks(value: str) -> DataFrame:
+        hist = folded.groupBy("pair", value).agg(F.sum("m").alias("n"))
+        rank = F.col("n_before") + (F.col("n") + 1) / 2.0
+        return running_totals(hist, "pair", value, ["n"]).select("pair", value, rank.alias(f"r{value}"))
+
+    ranked = folded.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
+    m, x, y = F.col("m"), F.col("rx"), F.col("ry")
+    name = F.array(*[F.lit(c) for c in columns])
+    at = lambda i: F.element_at(name, F.split_part("pair", F.lit(","), F.lit(i)).cast("int") + 1)
+    sums = ranked.groupBy("pair").agg(
+        F.sum(m).cast("double").alias("n"), F.sum(m * x).alias("sa"), F.sum(m * y).alias("sb"),
+        F.sum(m * x * x).alias("saa"), F.sum(m * y * y).alias("sbb"), F.sum(m * x * y).alias("sab"),
+    ).withColumns({"a": at(1), "b": at(2)})
     return sums.select(
         "a", "b", F.col("n").cast("bigint").alias("n"),
         _correlation(F.col("n"), F.col("sa"), F.col("sb"), F.col("saa"), F.col("sbb"), F.col("sab")).alias("r"),

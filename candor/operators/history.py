@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.fixed_values import HISTORICAL_REVIEW_LIMIT, MAX_REVIEWS
 from candor.functions.columns import blank_to_null
-from candor.operators.dedup import first_rows
 from candor.operators.urls import looks_like_asin
 
 
@@ -45,10 +43,10 @@ def to_canonical(reviews: DataFrame, platform: str = "amazon") -> DataFrame:
     )
 
 
-def historical_reviews(requests: DataFrame, reviews: DataFrame, limit: int = HISTORICAL_REVIEW_LIMIT) -> DataFrame:
-    """At most `limit` reviews per requested product, oldest first."""
+def historical_reviews(requests: DataFrame, reviews: DataFrame) -> DataFrame:
+    """All reviews of the requested products."""
     rows = reviews.join(lookup_keys(requests), "asin", "left_semi")
-    return to_canonical(first_rows(rows, ["asin"], [F.col("unixReviewTime").asc_nulls_last(), F.col("mongo_id")], limit))
+    return to_canonical(rows)
 
 
 def same_product(wanted: Column, found: Column) -> Column:
@@ -81,10 +79,9 @@ def resolve_status(requests: DataFrame) -> DataFrame:
 
 
 def enrich(summary: DataFrame, source_kind: str, n_available: str | None = None) -> DataFrame:
-    """Retrieval columns of a summary: how many were retrieved and whether the cap was reached."""
+    """Retrieval columns of a summary. Nothing is cut, so all that was retrieved was analysed."""
     n = F.col("n_reviews")
     out = summary.withColumns({
-        "n_retrieved": n, "n_analyzed": n, "analysis_limit": F.lit(MAX_REVIEWS), "limited_by_source": n >= MAX_REVIEWS,
-        "source_kind": F.lit(source_kind),
+        "n_retrieved": n, "n_analyzed": n, "source_kind": F.lit(source_kind),
     })
     return out.withColumn("n_historical_available", F.col(n_available)) if n_available else out

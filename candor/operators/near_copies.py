@@ -23,7 +23,7 @@ from candor.fixed_values import NEAR_DUPLICATE_RATIO
 from candor.functions.columns import text_key
 from candor.functions.similarity import Block
 from candor.functions.skew import attach_by_key
-from candor.operators.products import GROUP
+from candor.operators.products import GROUP, join_by_product
 
 TILE = 256
 OUT = "platform string, product_id string, text_id binary, before string, after string, pairs long, other binary"
@@ -32,7 +32,7 @@ OUT = "platform string, product_id string, text_id binary, before string, after
 def sequence(rows: DataFrame) -> Column:
     """Text that sorts like (review_date, review_id), undated reviews first; equal places are split by text."""
     date = F.coalesce(F.date_format("review_date", "yyyyMMddHHmmssSSSSSS"), F.lit(""))
-    tie = F.substring(F.hex(text_key(F.col("text"))), 1, 8)
+    tie = F.hex(text_key(F.col("text")))
     return F.concat(date, F.lit("|"), F.coalesce(F.col("review_id"), F.lit("")), F.lit("|"), F.coalesce(tie, F.lit("")))
 
 
@@ -65,7 +65,7 @@ def blocks(texts: DataFrame, threshold: float, tile: int = TILE, **skew: int) ->
         *GROUP, "class", "m", (F.sum("m").over(every) <= tile).alias("whole"), F.ceil(F.col("m") / tile).alias("own"),
         F.coalesce(neighbour(F.lag, -1), F.lit(0)).alias("prev"), F.coalesce(neighbour(F.lead, 1), F.lit(0)).alias("next"),
     )
-    tiled = attach_by_key(placed, plan, [*GROUP, "class"], "m", ["text_id"], **skew).withColumn(
+    tiled = attach_by_key(placed, plan, [*GROUP, "class"], "m", ["text_id"], null_safe=GROUP, **skew).withColumn(
         "tile", F.pmod(F.xxhash64("text_id"), F.col("own"))
     )
     c, t = F.col("class"), F.col("tile")
@@ -165,11 +165,13 @@ def near_texts(
 
 
 def near_pairs(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """(product, near_duplicate_pairs): pairs of reviews, i before j, whose texts are near copies."""
+    """(product, near_duplicate_pairs): pairs of reviews, i before j, whose texts are near copies; 0 where none are."""
     direct = matches.groupBy(*GROUP).agg(F.sum("pairs").alias("pairs"))
     one_way = matches.filter(F.col("other").isNotNull())
     later = _ordered_pairs(rows, one_way)
-    return direct.unionByName(later).groupBy(*GROUP).agg(F.sum("pairs").alias("near_duplicate_pairs"))
+    found = direct.unionByName(later).groupBy(*GROUP).agg(F.sum("pairs").alias("found"))
+    pairs = F.coalesce("found", F.lit(0).cast("long")).alias("near_duplicate_pairs")
+    return join_by_product(rows.select(*GROUP).distinct(), found).select(*GROUP, pairs)
 
 
 def _ordered_pairs(rows: DataFrame, one_way: DataFrame) -> DataFrame:
@@ -204,9 +206,11 @@ def with_near_flag(rows: DataFrame, matches: DataFrame, **skew: int) -> DataFram
     bounds = matches.filter(F.col("other").isNull()).groupBy(*GROUP, "text_id").agg(
         F.max("before").alias("before"), F.min("after").alias("after"), F.count(F.lit(1)).alias("k"))
     copies = distinct_texts(rows).select(*GROUP, "text_id", "n")
-    sized = bounds.join(copies, [*GROUP, "text_id"]).select(*GROUP, "text_id", "before", "after", "n")
+    b, c = bounds.alias("b"), copies.alias("c")
+    same = [F.col(f"b.{g}").eqNullSafe(F.col(f"c.{g}")) for g in GROUP] + [F.col("b.text_id") == F.col("c.text_id")]
+    sized = b.join(c, same).select(*[f"b.{k}" for k in (*GROUP, "text_id", "before", "after")], "c.n")
     keyed = rows.withColumn("text_id", F.when(F.col("text").isNotNull(), text_key(F.col("text"))))
-    out = attach_by_key(keyed, sized, [*GROUP, "text_id"], "n", ["review_id", "reviewer_id", "review_date"], **skew)
+    out = attach_by_key(keyed, sized, [*GROUP, "text_id"], "n", ["review_id", "reviewer_id", "review_date"], null_safe=GROUP, **skew)
     seq = sequence(rows)
     near = F.coalesce(seq < F.col("before"), F.lit(False)) | F.coalesce(seq > F.col("after"), F.lit(False))
     return out.withColumn("near", near).select(*rows.columns, "near")

@@ -19,7 +19,6 @@ from candor.fixed_values import (
     RUPEE_WORDS,
     STARS_PATTERN,
     STORE_TITLE_CUTS,
-    TITLE_CHARS,
     TITLE_CUTS,
     TITLE_PATTERN,
 )
@@ -49,7 +48,7 @@ def clean_title(c: Column) -> Column:
     text = strip(F.regexp_replace(c, r"(?U)\s+", " "))
     text = F.regexp_replace(text, r"(?i)^(?:Buy|Shop)\s+", "")
     text = strip(F.get(F.split(text, TITLE_CUTS, 2), F.lit(0)))
-    return let(text, lambda t: F.when(~is_generic_title(t), F.substring(t, 1, TITLE_CHARS)))
+    return let(text, lambda t: F.when(~is_generic_title(t), t))
 
 
 def split_store_title(c: Column) -> Column:
@@ -64,7 +63,7 @@ def _title_and_brand(text: Column) -> Column:
     named = F.lower(text).contains(" by ") & (right != "") & (F.size(F.split(strip(right), r"\s+")) <= 4)
     title = F.when(named, strip(F.get(halves, F.lit(0)))).otherwise(text)
     return F.struct(
-        F.nullif(F.substring(title, 1, TITLE_CHARS), F.lit("")).alias("title"),
+        F.nullif(title, F.lit("")).alias("title"),
         F.when(named, F.btrim(right, F.lit(" .|-"))).alias("brand"),
     )
 
@@ -181,8 +180,8 @@ def _string(node: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", _get(node, path))
 
 
-def jsonld_reviews(nodes: DataFrame, key: list[str], limit: int) -> DataFrame:
-    """Published reviews of the pages, at most `limit` per page, in page order."""
+def jsonld_reviews(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """All published reviews of the pages."""
     n = F.col("node")
     inner = F.coalesce(
         _get(n, "$.review", "array<variant>"),
@@ -198,13 +197,13 @@ def jsonld_reviews(nodes: DataFrame, key: list[str], limit: int) -> DataFrame:
         F.coalesce(_string(r, "$.author.name"), _string(r, "$.author")).alias("reviewer_name"),
         to_number(_get(r, "$.reviewRating.ratingValue")).alias("rating"), _string(r, "$.name").alias("title"), body.alias("text"),
     )
-    return first_rows(rows, key, ["place"], limit).drop("place")
+    return rows.drop("place")
 
 
 # ---- Review cards -------------------------------------------------------------------------------
 
 
-def review_cards(pages: DataFrame, key: list[str], limit: int, html: str = "html") -> DataFrame:
+def review_cards(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
     """Reviews of saved review-card HTML: one per distinct body longer than 20 characters."""
     cards = F.split(F.col(html), CARD_START_PATTERN)
     started = F.filter(cards, lambda c: c.rlike('(?i)^(id="customer_review-|data-hook="review")'))
@@ -216,8 +215,7 @@ def review_cards(pages: DataFrame, key: list[str], limit: int, html: str = "html
         F.get(F.filter(titles, lambda t: ~F.lower(t).contains("out of 5")), F.lit(0)).alias("title"),
         to_number(extract(F.col("card"), STARS_PATTERN)).alias("rating"),
     ).filter("text IS NOT NULL")
-    distinct = first_rows(rows, [*key, "text"], ["i"], 1)
-    return first_rows(distinct, key, ["i"], limit)
+    return first_rows(rows, [*key, "text"], ["i"], 1)
 
 
 # ---- Merging records ----------------------------------------------------------------------------

@@ -78,7 +78,7 @@ def product_signals(rows: DataFrame) -> DataFrame:
     people = rows.filter(F.col("reviewer_id").isNotNull()).groupBy(*GROUP, "reviewer_id").agg(n.alias("k")).groupBy(
         *GROUP).agg(n.alias("unique_reviewers"), F.max("k").alias("max_reviews_one_reviewer"))
     copies = text_copies(rows).groupBy(*GROUP).agg(F.sum("copies").alias("exact_duplicate_review_count"))
-    out = _left(_left(base, people), copies)
+    out = join_by_product(join_by_product(base, people), copies)
     nr, nd = F.col("n_with_rating"), F.col("n_with_review_date")
     shares = [divide(F.col(f"stars_{s}"), nr) for s in STARS]
     span = F.when(nd >= 2, _days(F.col("first_date"), F.col("last_date"))).when(nd == 1, 0.0)
@@ -103,7 +103,7 @@ def product_signals(rows: DataFrame) -> DataFrame:
     )
 
 
-def _left(a: DataFrame, b: DataFrame) -> DataFrame:
+def join_by_product(a: DataFrame, b: DataFrame) -> DataFrame:
     """LEFT JOIN two one-row-per-product tables; products without an id still match each other."""
     other = b.select(*[F.col(k).alias(f"_{k}") for k in GROUP], *[c for c in b.columns if c not in GROUP])
     on = [a[k].eqNullSafe(other[f"_{k}"]) for k in GROUP]
@@ -113,19 +113,19 @@ def _left(a: DataFrame, b: DataFrame) -> DataFrame:
 def with_product_stats(rows: DataFrame, signals: DataFrame, columns: list[str], **skew: int) -> DataFrame:
     """Add per-product columns to the reviews, hot products answered from a broadcast."""
     stats = signals.select(*GROUP, "n_reviews", *[c for c in columns if c != "n_reviews"])
-    return attach_by_key(rows, stats, GROUP, "n_reviews", SPREAD, **skew)
+    return attach_by_key(rows, stats, GROUP, "n_reviews", SPREAD, null_safe=GROUP, **skew)
 
 
 def with_copies(rows: DataFrame, **skew: int) -> DataFrame:
     """Add `copies`: rows of the product with the same stripped lower-case text (1 when alone, NULL without text)."""
-    out = attach_by_key(rows, text_copies(rows), [*GROUP, "text_key"], "copies", SPREAD, **skew)
+    out = attach_by_key(rows, text_copies(rows), [*GROUP, "text_key"], "copies", SPREAD, null_safe=GROUP, **skew)
     copies = F.when(F.col("text").isNotNull(), F.coalesce(F.col("copies"), F.lit(1).cast("bigint")))
     return out.withColumn("copies", copies)
 
 
 def rating_deviation(rows: DataFrame, signals: DataFrame) -> DataFrame:
     """Mean absolute distance of the ratings from the product mean."""
-    near = with_product_stats(rows.select(*GROUP, *SPREAD), signals, ["avg_rating"])
+    near = with_product_stats(rows.select(*GROUP, *SPREAD), signals, ["avg_rating"])  # NULL ids are one product
     return near.groupBy(*GROUP).agg(F.avg(F.abs(F.col("rating") - F.col("avg_rating"))).alias("mean_abs_rating_deviation"))
 
 

@@ -32,7 +32,7 @@ from candor.operators.dedup import first_rows
 from candor.operators.near_copies import near_pairs, near_texts, with_near_flag
 from candor.operators.products import (
     GROUP,
-    _left,
+    join_by_product,
     product_signals,
     with_copies,
     with_product_stats,
@@ -198,7 +198,7 @@ def reviewer_summary(signals: DataFrame, profiles: DataFrame) -> DataFrame:
     per = profiles.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n_reviewers"), F.avg("reviewer_trust_score").alias("_trust")
     )
-    out = _left(signals.select(*GROUP, "reviewer_diversity", "max_reviews_one_reviewer"), per)
+    out = join_by_product(signals.select(*GROUP, "reviewer_diversity", "max_reviews_one_reviewer"), per)
     return out.select(
         *GROUP, F.col("n_reviewers").isNotNull().alias("available"), F.coalesce("n_reviewers", F.lit(0)).alias("n_reviewers"),
         half_even(F.col("_trust")).alias("mean_reviewer_trust_score"), "reviewer_diversity", "max_reviews_one_reviewer",
@@ -234,7 +234,7 @@ def _first_label(risk: DataFrame) -> DataFrame:
 
 def components(signals: DataFrame, rollup: DataFrame, people: DataFrame) -> DataFrame:
     """The five component scores, NULL where their signal is missing."""
-    s = _left(_left(signals, rollup), people.select(*GROUP, "mean_trust", "n_reviewers"))
+    s = join_by_product(join_by_product(signals, rollup), people.select(*GROUP, "mean_trust", "n_reviewers"))
     n, n_text, avg_len = F.col("n_reviews"), F.col("n_with_text"), F.col("avg_review_length_chars")
     quality = F.when(
         n_text > 0, 100.0 * (0.55 * divide(n_text, n) + 0.45 * F.least(F.lit(1.0), avg_len / 200.0))
@@ -322,7 +322,7 @@ def product_trust(signals: DataFrame, risk: DataFrame, profiles: DataFrame) -> D
     """One row per product: components, applied weights, score, level, explanations."""
     people = reviewer_summary(signals, profiles)
     scored = blend(components(signals, _review_rollup(risk), people))
-    labelled = _left(scored, _first_label(risk))
+    labelled = join_by_product(scored, _first_label(risk))
     out = labelled.withColumn("explanations", explanations())
     return out.select(
         *GROUP, "n_reviews", "product_trust_score", "trust_level", "suspicion_risk",
@@ -339,7 +339,7 @@ def score_reviews(rows: DataFrame, matches: DataFrame | None = None, **skew: int
     risk = review_risk(rows, signals, matches, **skew)
     profiles = reviewer_profiles(rows)
     return {
-        "signals": _left(signals, near_pairs(rows, matches)).withColumn(
+        "signals": join_by_product(signals, near_pairs(rows, matches)).withColumn(
             "near_duplicate_pairs", F.coalesce("near_duplicate_pairs", F.lit(0))),
         "reviews": risk,
         "reviewers": profiles,

@@ -57,8 +57,7 @@ _LOW = ["overall", "class", "label", "category"]
     "audit_value_counts",
     f"""WITH {RAW_SQL}, c AS ({_union(_LOW, lambda c: f'''SELECT source_file, '{c}' AS "column",
   coalesce({_trim(_CELLS[c])}, '') AS value FROM raw''')}), n AS (SELECT source_file, "column", value, count(*) AS n
-  FROM c GROUP BY ALL) SELECT source_file, "column", value, {big('n', 'n')} FROM n
- QUALIFY row_number() OVER (PARTITION BY source_file, "column" ORDER BY n DESC, value) <= 40""",
+  FROM c GROUP BY ALL) SELECT source_file, "column", value, {big('n', 'n')} FROM n""",
 )
 def _(spark, d):
     return audit.value_counts(raw_reviews(spark, d), _LOW)
@@ -181,8 +180,7 @@ _PAIRS = [("overall", "class"), ("overall", "label"), ("class", "label")]
     "audit_cross_tabs",
     f"""WITH {RAW_SQL}, c AS ({_union(_PAIRS, lambda p: f'''SELECT source_file, '{p[0]} x {p[1]}' AS pair,
   {_trim(_CELLS[p[0]])} AS a, {_trim(_CELLS[p[1]])} AS b FROM raw''')}), n AS (SELECT source_file, pair, a, b,
-  count(*) AS n FROM c GROUP BY ALL) SELECT source_file, pair, a, b, {big('n', 'n')} FROM n
- QUALIFY row_number() OVER (PARTITION BY source_file, pair ORDER BY n DESC, a, b) <= 80""",
+  count(*) AS n FROM c GROUP BY ALL) SELECT source_file, pair, a, b, {big('n', 'n')} FROM n""",
 )
 def _(spark, d):
     return audit.cross_tabs(raw_reviews(spark, d), _PAIRS)

@@ -243,14 +243,14 @@ def _spearman_sql(with_, tbl, columns, where=""):
 
 @register("spearman_reviewer_features", _spearman_sql(_VF, "vf", REVIEWER_RANKED))
 def _(spark, d):
-    return eda.spearman(_vf(spark, d), REVIEWER_RANKED, ["reviewerID"])
+    return eda.spearman(_vf(spark, d), REVIEWER_RANKED)
 
 
 @register("spearman_product_features", _spearman_sql(_PF, "pf", PRODUCT_RANKED))
 def _(spark, d):
-    return eda.spearman(_pf(spark, d), PRODUCT_RANKED, ["asin"])
+    return eda.spearman(_pf(spark, d), PRODUCT_RANKED)
 
 
 @register("spearman_high_pairs", _spearman_sql(_VF, "vf", REVIEWER_RANKED, "WHERE abs(c) >= 0.8"))
 def _(spark, d):
-    return eda.high_pairs(eda.spearman(_vf(spark, d), REVIEWER_RANKED, ["reviewerID"]))
+    return eda.high_pairs(eda.spearman(_vf(spark, d), REVIEWER_RANKED))

@@ -141,7 +141,7 @@ def _(spark, d):
     "page_titles",
     """WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g'),
   '\\s+', ' ', 'g')) AS t FROM pages)
- SELECT page_id, nullif(left(trim(regexp_replace(t, '(\\s+\\|\\s+| Price in India| - Buy | Online$).*', '')), 300), '') AS title FROM t""",
+ SELECT page_id, nullif(trim(regexp_replace(t, '(\\s+\\|\\s+| Price in India| - Buy | Online$).*', '')), '') AS title FROM t""",
 )
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", pages.title_tag(F.col("html")).alias("title"))
@@ -197,7 +197,7 @@ def _(spark, d):
 )
 def _(spark, d):
     nodes = pages.jsonld_nodes(document_pages(spark, d), ["doc_id"])
-    return pages.jsonld_reviews(nodes, ["doc_id"], 50).select("doc_id", "reviewer_name", "rating", "text")
+    return pages.jsonld_reviews(nodes, ["doc_id"]).select("doc_id", "reviewer_name", "rating", "text")
 
 
 @register(
@@ -223,7 +223,7 @@ _PLAIN = f"trim(regexp_replace(regexp_replace({{0}}, '<[^>]+>', ' ', 'g'), '[\\s
  SELECT doc_id, text, 'Title ' || doc_id AS title, {r6('5', 'rating')} FROM b WHERE length(text) > 20""",
 )
 def _(spark, d):
-    return pages.review_cards(document_pages(spark, d), ["doc_id"], 50).select("doc_id", "text", "title", "rating")
+    return pages.review_cards(document_pages(spark, d), ["doc_id"]).select("doc_id", "text", "title", "rating")
 
 
 @register(
@@ -292,7 +292,7 @@ _DOC_ASIN = "'D' || lpad(doc_id::VARCHAR, 9, '0')"
  UNION ALL SELECT doc_id, NULL, 'Only title ' || doc_id, NULL::DOUBLE, 'R' || doc_id, NULL, NULL, NULL, NULL FROM b""",
 )
 def _(spark, d):
-    return payloads.nested_reviews(document_payloads(spark, d), ["doc_id"], "asin", 50).drop("product_id")
+    return payloads.nested_reviews(document_payloads(spark, d), ["doc_id"], "asin").drop("product_id")
 
 
 @register(
@@ -313,7 +313,7 @@ def _(spark, d):
  text, TIMESTAMP '2024-02-03 04:05:06' AS review_date, FALSE AS verified_purchase FROM documents""",
 )
 def _(spark, d):
-    return payloads.feed_reviews(document_payloads(spark, d), ["doc_id"], 50, "feed").drop("helpful_votes")
+    return payloads.feed_reviews(document_payloads(spark, d), ["doc_id"], "feed").drop("helpful_votes")
 
 
 @register(
@@ -457,8 +457,7 @@ def _(spark, d):
 @register(
     "historical_reviews",
     f"""WITH {REVIEWS_SQL}, {_WANTED} SELECT asin AS product_id, mongo_id AS review_id, "reviewerID" AS reviewer_id, "reviewText" AS text, summary AS title,
- {big('helpful_votes', 'helpful_votes')}, review_datetime_utc AS review_date FROM reviews JOIN wanted ON asin = id
- QUALIFY row_number() OVER (PARTITION BY asin ORDER BY "unixReviewTime" NULLS LAST, mongo_id) <= 200""",
+ {big('helpful_votes', 'helpful_votes')}, review_datetime_utc AS review_date FROM reviews JOIN wanted ON asin = id""",
 )
 def _(spark, d):
     return history.historical_reviews(_requests(spark, d), reviews(spark, d)).select(
@@ -504,11 +503,11 @@ def _(spark, d):
 
 @register(
     "live_and_historical_signals",
-    f"""WITH {LIVE_SQL} SELECT product_id, source_kind, count(*)::BIGINT AS n_reviews, count(*)::BIGINT AS n_retrieved, count(*) >= 50 AS limited_by_source
+    f"""WITH {LIVE_SQL} SELECT product_id, source_kind, count(*)::BIGINT AS n_reviews, count(*)::BIGINT AS n_retrieved
  FROM (SELECT product_id, 'live' AS source_kind FROM live UNION ALL SELECT product_id, 'historical' FROM live) GROUP BY ALL""",
 )
 def _(spark, d):
     live = history.enrich(products.product_signals(products.prepare(live_reviews(spark, d))), "live")
     past = history.enrich(products.product_signals(products.prepare(history.to_canonical(reviews(spark, d)))), "historical")
-    keep = ["product_id", "source_kind", "n_reviews", "n_retrieved", "limited_by_source"]
+    keep = ["product_id", "source_kind", "n_reviews", "n_retrieved"]
     return live.select(*keep).unionByName(past.select(*keep))

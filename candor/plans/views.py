@@ -12,14 +12,8 @@ SOURCES = ["A.csv", "N.csv", "R.csv"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table. A file that Spark reads in fewer tasks than it has cores (a single row group) is
-    spread over all of them; a table of many files is read as it is."""
-    tune(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("lineitem", "documents") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """One test table, read as it is."""
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,11 @@ def builder(app: str = "candor", master: str | None = None) -> SparkSession.Buil
 
 def tune(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings results depend on. Safe to call on any session, any number of times."""
+    # Python workers find this package where the driver found it.
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # `percentile` keeps small per-group maps; the default of 128 groups sorts every task for nothing.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")

@@ -51,7 +51,7 @@ def test_jsonld_page(spark):
     p = pages.jsonld_products(nodes, ["id"]).collect()[0]
     assert (p.title, p.brand, p.price, p.currency, p.rating, p.rating_count, p.image_url) == \
         ("Cotton Kurta Set", "Demo", 799.0, "INR", 4.2, 12, "http://i/1")
-    r = pages.jsonld_reviews(nodes, ["id"], 50).collect()
+    r = pages.jsonld_reviews(nodes, ["id"]).collect()
     assert [(x.rating, x.reviewer_name) for x in r] == [(5.0, "Asha")]
 
 
