@@ -144,7 +144,7 @@ r AS (  -- sources by the level at which they are full; the level if exactly the
          (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0))
          / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
   FROM s WINDOW before AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(level) FILTER (WHERE level < full_at) AS level FROM r),
+l AS (SELECT arg_min(level, full_at) FILTER (WHERE level < full_at) AS level FROM r),
 g AS (SELECT source, source_size, least(2.0 * source_size, coalesce(l.level * w, 2.0 * source_size))::DOUBLE AS target FROM r, l),
 p AS (
   SELECT t.*, source_size, target, floor(target + 1e-6)::BIGINT AS budget,
