@@ -141,35 +141,34 @@ def _marks(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray) -> bytes:
     return pack(ids[at], shas[at], narrow(np.diff(np.append(at, len(ids)))), narrow(gaps))
 
 
-def _by_document(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+def _marked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, text hashes and starts of marks."""
     ids, shas, counts, gaps = unpack(blob)
-    at = 0
-    for doc_id, sha, n in zip(ids.tolist(), shas.tolist(), counts.tolist(), strict=True):
-        yield doc_id, sha, pack(gaps[at : at + n])
-        at += n
+    counts, gaps = counts.astype(np.int64), gaps.astype(np.int64)
+    ends = np.cumsum(counts)
+    runs = np.cumsum(gaps)
+    base = np.repeat(runs[ends - counts] - gaps[ends - counts], counts)
+    return np.repeat(ids, counts), np.repeat(shas, counts), runs - base
 
 
-def later_starts(blobs: list[bytes]) -> bytes:
-    """Of all entries of one hash range, those whose key has an earlier start; as marks."""
+def later_starts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all entries of one hash range, those whose key has an earlier start: ids, text hashes and starts."""
     parts = [_entries(b) for b in blobs]
     key = np.concatenate([p[0] for p in parts])
     order = np.argsort(key)
     k = key[order]
     twin = np.zeros(len(k), bool)
-    equal = k[1:] == k[:-1]
-    twin[1:] = equal
-    twin[:-1] |= equal
+    twin[1:] = k[1:] == k[:-1]
+    twin[:-1] |= twin[1:]
     order = order[twin]
-    if not len(order):
-        return b""
     key = key[order]
     start, ids, shas = (np.concatenate([p[i] for p in parts])[order] for i in (1, 2, 3))
     by = np.lexsort((start, ids, key))
     key, start, ids, shas = key[by], start[by], ids[by], shas[by]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
     later = (ids != ids[lead]) | (start != start[lead])
-    return _marks(ids[later], shas[later], start[later]) if later.any() else b""
+    return ids[later], shas[later], start[later]
 
 
 def _words_of(docs: DataFrame) -> DataFrame:
@@ -180,7 +179,7 @@ def _words_of(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, size: int, ranges: int) -> DataFrame:
-    """`doc_id, sha, starts`: packed starts of the windows to remove; several rows per document."""
+    """`doc_id, sha, starts`: packed starts of the windows to remove, one row per document that has any."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHashes()
@@ -200,16 +199,25 @@ def marks(docs: DataFrame, size: int, ranges: int) -> DataFrame:
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
         entries = [b for b in rows["entries"] if b]
-        blobs = [b for b in rows["marks"] if b]
-        if entries:
-            blobs.append(later_starts(entries))
-        found = [x for b in blobs if b for x in _by_document(b)]
-        return pd.DataFrame({
-            "doc_id": np.array([x[0] for x in found], np.int64), "sha": np.array([x[1] for x in found], np.int64),
-            "starts": pd.Series([x[2] for x in found], dtype=object)})
+        found = [_marked(b) for b in rows["marks"] if b] + ([later_starts(entries)] if entries else [])
+        ids, shas, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = shas % ranges
+        by = np.argsort(bucket, kind="stable")
+        ids, shas, starts, bucket = ids[by], shas[by], starts[by], bucket[by]
+        own, first = np.unique(bucket, return_index=True)
+        blobs = [_marks(ids[a:b], shas[a:b], starts[a:b]) for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
+        return pd.DataFrame({"bucket": own.astype(np.int32), "blob": pd.Series(blobs, dtype=object)})
+
+    def by_document(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, shas, starts = (np.concatenate(x) for x in zip(*[_marked(b) for b in rows["blob"]], strict=True))
+        ids, shas, counts, gaps = unpack(_marks(ids, shas, starts))
+        ends = np.cumsum(counts.astype(np.int64))
+        cells = [pack(gaps[b - n : b]) for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
+        return pd.DataFrame({"doc_id": ids, "sha": shas, "starts": pd.Series(cells, dtype=object)})
 
     rows = docs.select("doc_id", "sha", "text").mapInPandas(hashed, "rng int, entries binary, marks binary")
-    return rows.groupBy("rng").applyInPandas(met, "doc_id long, sha long, starts binary")
+    packed = rows.groupBy("rng").applyInPandas(met, "bucket int, blob binary")
+    return packed.groupBy("bucket").applyInPandas(by_document, "doc_id long, sha long, starts binary")
 
 
 def intervals(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -229,19 +237,17 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     """
     rows = _words_of(columns(docs, doc_id=id_col, text=text_col))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = marks(rows, size, parts_for(total // 6, RANGE_WINDOWS))
-    per = found.groupBy("doc_id", "sha").agg(F.collect_list("starts").alias("starts"))
+    per = marks(rows, size, parts_for(total // 6, RANGE_WINDOWS))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for text, blobs in zip(frame["text"], frame["starts"], strict=True):
+            for text, blob in zip(frame["text"], frame["starts"], strict=True):
                 words = text.encode().split()
-                if blobs is None or not len(blobs):
+                if blob is None:
                     out.append((len(words), 0, b" ".join(words).decode(), []))
                     continue
-                starts = np.concatenate([np.cumsum(unpack(b)[0].astype(np.int64)) for b in blobs])
-                gone = intervals(np.sort(starts), size)
+                gone = intervals(np.cumsum(unpack(blob)[0].astype(np.int64)), size)
                 kept, at = [], 0
                 for a, b in gone:
                     kept += words[at:a]
