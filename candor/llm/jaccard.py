@@ -15,8 +15,10 @@ A document's set is its distinct n-grams of words (a shorter text is one n-gram)
    Pairs whose shared tokens are too few for a link, or lie too late in the order, are not formed.
 5. Tokens all of whose classes are now in one component are done. Of the others, tokens met in at most
    `rare` components are indexed one by one; frequent ones by combinations of k of them, since linked
-   sets without a common rare token share k frequent ones. Pairs across components are verified exactly:
-   intersections need shared tokens only.
+   sets without a common rare token share k frequent ones. Each class has a parity mark: one bit for each hash
+   bucket of its shared tokens, flipped by every token. Marks that differ in d bits differ in d tokens at least,
+   so a pair is not formed if that alone leaves too few in common. The other pairs across components are
+   verified exactly: intersections need shared tokens only.
 
 A token is kept in 48 bits and its range number, so a pair of sets meets a false match with a chance of about
 10^-10 at any size of the corpus. The task of a range holds its tokens' entries, 14 bytes each; the number of
@@ -56,6 +58,7 @@ RARE = 32
 K = 2
 ROUNDS = 5
 ENTRY = ["class", "size", "shared", "behind"]
+MARK = [f"mark_{i}" for i in range(8)]
 RANGE_TOKENS = 1 << 21
 CHUNK_TOKENS = 1 << 21
 NULL_ID = -(2**63)
@@ -175,8 +178,15 @@ def shared_tokens(blobs: DataFrame, ranges: int) -> DataFrame:
     return blobs.groupBy("rng").applyInPandas(run, "bucket int, blob binary")
 
 
+def parity_mark(tokens: np.ndarray) -> np.ndarray:
+    """For each hash bucket, whether the number of tokens in it is odd, as the bits of a few longs."""
+    n_bits = 64 * len(MARK)
+    odd = np.bincount(tokens & (n_bits - 1), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def candidates_of(shared: DataFrame, classes: DataFrame, percent: int, k: int, ranges: int) -> DataFrame:
-    """`class, size, shared, central, tokens, prefix` of the classes that have enough shared tokens.
+    """`class, size, shared, central, tokens, prefix, mark` of the classes that have enough shared tokens.
 
     `tokens` are the `shared` ones, rare first; `central` is the mean number of classes they are in, negated.
     """
@@ -193,15 +203,15 @@ def candidates_of(shared: DataFrame, classes: DataFrame, percent: int, k: int, r
             for i in np.flatnonzero(n_shared >= need):
                 at, r, n = first[i], int(n_shared[i]), int(size[i])
                 length = max(r - int(need[i]) + k, 0)  # the class's own tokens come first in the order
-                out.append((own[i], n, r, -count[at : at + r].mean(), token[at : at + r], token[at : at + min(length, r)]))
+                out.append((own[i], n, r, -count[at : at + r].mean(), token[at : at + r], token[at : at + min(length, r)], parity_mark(token[at : at + r])))
         frame = pd.DataFrame({c: [x[j] for x in out] for j, c in enumerate(("class", "size", "shared", "central"))})
         frame = frame.astype({"class": "int64", "size": "int64", "shared": "int64", "central": "float64"})
-        return frame.assign(**{c: pd.Series([x[j] for x in out], dtype=object) for j, c in ((4, "tokens"), (5, "prefix"))})
+        return frame.assign(**{c: pd.Series([x[j] for x in out], dtype=object) for j, c in ((4, "tokens"), (5, "prefix"), (6, "mark"))})
 
     bucket = F.pmod(F.col("class"), F.lit(ranges)).cast("int")
     left = classes.select("class", "size", bucket.alias("bucket")).groupBy("bucket")
     return left.cogroup(shared.groupBy("bucket")).applyInPandas(
-        run, "class long, size long, shared long, central double, tokens array<long>, prefix array<long>")
+        run, "class long, size long, shared long, central double, tokens array<long>, prefix array<long>, mark array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,13 +224,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.where(common * 100 >= union * percent).select("a", "b"), "links")
 
 
-def _may_link(a: str, b: str, percent: int, k: int) -> Column:
-    """Whether two entries of one key can belong to a linked pair.
+def _may_link(a: str, b: str, percent: int, k: int, *bounds: Column) -> Column:
+    """Whether two entries of one key can belong to a linked pair, by this and any further bounds of its intersection.
 
     No intersection is larger than the fewer of the shared tokens; and if the key is among the first k common
     tokens, as it is for some key of every linked pair, not larger than k and what either side has behind it.
     """
-    most = F.least(*[F.col(f"{x}.shared") for x in (a, b)], *[F.col(f"{x}.behind") + k for x in (a, b)])
+    most = F.least(*[F.col(f"{x}.shared") for x in (a, b)], *[F.col(f"{x}.behind") + k for x in (a, b)], *bounds)
     return most * 100 >= (F.col(f"{a}.size") + F.col(f"{b}.size") - most) * percent
 
 
@@ -229,14 +239,22 @@ def _with_component(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _pairs(entries: DataFrame, key: str, percent: int, k: int) -> DataFrame:
+def _by_marks(a: str, b: str) -> Column:
+    """The most tokens two classes can have in common by their marks."""
+    differ = sum((F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}"))) for m in MARK), F.lit(0))
+    return F.floor((F.col(f"{a}.shared") + F.col(f"{b}.shared") - differ) / 2)
+
+
+def _pairs(entries: DataFrame, sets: DataFrame, key: str, percent: int, k: int) -> DataFrame:
     """Pairs of classes of different components that share a key."""
     open_keys = entries.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
         "lo < hi").select(key)
-    few = written(entries.join(open_keys, key, "left_semi").select(key, *ENTRY, "component"), "open")
+    marks = sets.select("class", *[F.col("mark")[i].alias(m) for i, m in enumerate(MARK)])
+    few = entries.join(open_keys, key, "left_semi").select(key, *ENTRY, "component")
+    few = written(few.join(marks, "class"), "open")
     a, b = few.alias("a"), few.alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.class") < F.col("b.class")) & (
-        F.col("a.component") != F.col("b.component")) & _may_link("a", "b", percent, k)
+        F.col("a.component") != F.col("b.component")) & _may_link("a", "b", percent, k) & _may_link("a", "b", percent, k, _by_marks("a", "b"))
     return a.join(b, on).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
@@ -285,10 +303,10 @@ def links_between(sets: DataFrame, percent: int, rare: int, k: int, rounds: int
     spread = entries.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
     entries = written(entries.join(spread, "token"), "unsettled")
-    pairs = _pairs(entries.where(F.col("n_components") <= rare), "token", percent, k)
+    pairs = _pairs(entries.where(F.col("n_components") <= rare), sets, "token", percent, k)
     frequent = entries.where(F.col("n_components") > rare)
     if not frequent.isEmpty():
-        pairs = pairs.unionByName(_pairs(_combined(frequent, k), "combo", percent, k)).distinct()
+        pairs = pairs.unionByName(_pairs(_combined(frequent, k), sets, "combo", percent, k)).distinct()
     return links.unionByName(verified(pairs.join(checked, ["a", "b"], "left_anti"), sets, percent))
 
 

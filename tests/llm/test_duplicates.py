@@ -142,6 +142,17 @@ def test_near_copies(edge, docs, n, percent, rare):
     assert got == plain_near([(r["doc_id"], r["text"]) for r in docs.collect()], n, percent)
 
 
+@pytest.mark.parametrize("n, common", [(0, 0), (1, 0), (40, 39), (400, 380), (5000, 100)])
+def test_marks_differ_in_no_more_bits_than_tokens(n, common):
+    rng = np.random.default_rng(n)
+    some = rng.integers(-(2**63), 2**63 - 1, 2 * n - common + 1, dtype=np.int64)
+    a, b = some[:n], some[n - common : 2 * n - common]
+    marks = [jaccard.parity_mark(x) for x in (a, b)]
+    assert all(len(m) == len(jaccard.MARK) for m in marks)
+    differ = sum(int(x).bit_count() for x in (marks[0] ^ marks[1]).view(np.uint64))
+    assert differ <= 2 * (n - common) and differ % 2 == 0
+
+
 @pytest.mark.parametrize("rare", [32, 1])
 def test_chains_and_frequent_words(llm, rare):
     """Links that only hold step by step, in a table where most n-grams are shared by all documents."""
