@@ -306,7 +306,7 @@ def links_between(sets: DataFrame, percent: int, rare: int, k: int, rounds: int
     pairs = _pairs(entries.where(F.col("n_components") <= rare), sets, "token", percent, k)
     frequent = entries.where(F.col("n_components") > rare)
     if not frequent.isEmpty():
-        pairs = pairs.unionByName(_pairs(_combined(frequent, k), sets, "combo", percent, k)).distinct()
+        pairs = pairs.unionByName(_pairs(written(_combined(frequent, k), "combos"), sets, "combo", percent, k)).distinct()
     return links.unionByName(verified(pairs.join(checked, ["a", "b"], "left_anti"), sets, percent))
 
 
