@@ -9,7 +9,8 @@ window in a hash range, 56 bits of the other are its key there. Ranges number in
 chance of a false match per window does not grow with the input (about 10^-11). Inside a scan task all but the
 first start of a window are marked at once; only first starts travel, as packed arrays per hash range, so a
 passage in very many documents sends one entry per task. The task of a range finds the first start of all and
-sends the other starts back as packed marks by document.
+sends the other starts on as packed marks by document. Marks are keyed by document bucket from the start, those
+of a scan task too, so no task sees more of them than its share of the documents.
 
 Null texts and texts of fewer than `size` words keep everything; null ids sort first. Rows that repeat an id
 and a text are one document and agree. An empty table gives no rows. Other columns play no part.
@@ -81,7 +82,7 @@ class Chunk:
         return first, second, doc, start
 
     def rows(self, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """(range, first starts of the chunk as entries, later starts as marks); marks go with one of the ranges."""
+        """First starts of the chunk as entries under their range, later starts as marks under `ranges` + their bucket."""
         if not self.ids:
             return
         first, second, doc, start = self.arrays()
@@ -95,7 +96,8 @@ class Chunk:
         same = np.zeros(len(first), bool)  # a repeated row: the same id and start as the first
         same[order] = (ids[doc[order]] == ids[doc[lead]]) & (start[order] == start[lead])
         at = np.flatnonzero(later & ~same)
-        marks = _marks(ids[doc[at]], shas[doc[at]], start[at]) if len(at) else b""
+        for bucket, marks in _by_bucket(ids[doc[at]], shas[doc[at]], start[at], ranges):
+            yield ranges + bucket, b"", marks
         at = np.flatnonzero(~later)
         rng = (second[at] % np.uint64(ranges)).astype(np.int64)
         by = np.argsort(rng, kind="stable")
@@ -105,8 +107,6 @@ class Chunk:
         for lo, hi in zip(cuts, [*cuts[1:], len(rng)], strict=True):
             own = at[lo:hi]
             yield int(rng[lo]), _blob(key[lo:hi], doc[own], start[own], ids, shas), b""
-        if marks:
-            yield int(rng[0]), b"", marks
 
 
 def _blob(key: np.ndarray, doc: np.ndarray, start: np.ndarray, ids: np.ndarray, shas: np.ndarray) -> bytes:
@@ -141,6 +141,18 @@ def _marks(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray) -> bytes:
     return pack(ids[at], shas[at], narrow(np.diff(np.append(at, len(ids)))), narrow(gaps))
 
 
+def _by_bucket(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Marks by document bucket; all marks of a document have the same one."""
+    if not len(ids):
+        return
+    bucket = shas % buckets
+    by = np.argsort(bucket, kind="stable")
+    ids, shas, starts, bucket = ids[by], shas[by], starts[by], bucket[by]
+    own, first = np.unique(bucket, return_index=True)
+    for b, lo, hi in zip(own.tolist(), first, [*first[1:], len(ids)], strict=True):
+        yield b, _marks(ids[lo:hi], shas[lo:hi], starts[lo:hi])
+
+
 def _marked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, text hashes and starts of marks."""
     ids, shas, counts, gaps = unpack(blob)
@@ -198,15 +210,13 @@ def marks(docs: DataFrame, size: int, ranges: int) -> DataFrame:
         yield from out()
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
-        entries = [b for b in rows["entries"] if b]
-        found = [_marked(b) for b in rows["marks"] if b] + ([later_starts(entries)] if entries else [])
-        ids, shas, starts = (np.concatenate(x) for x in zip(*found, strict=True))
-        bucket = shas % ranges
-        by = np.argsort(bucket, kind="stable")
-        ids, shas, starts, bucket = ids[by], shas[by], starts[by], bucket[by]
-        own, first = np.unique(bucket, return_index=True)
-        blobs = [_marks(ids[a:b], shas[a:b], starts[a:b]) for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
-        return pd.DataFrame({"bucket": own.astype(np.int32), "blob": pd.Series(blobs, dtype=object)})
+        key = int(rows["rng"].iloc[0])
+        if key >= ranges:  # marks of scan tasks go on as they are
+            found = [(key - ranges, b) for b in rows["marks"]]
+        else:
+            found = list(_by_bucket(*later_starts(list(rows["entries"])), ranges))
+        return pd.DataFrame({
+            "bucket": np.array([b for b, _ in found], np.int32), "blob": pd.Series([m for _, m in found], dtype=object)})
 
     def by_document(rows: pd.DataFrame) -> pd.DataFrame:
         ids, shas, starts = (np.concatenate(x) for x in zip(*[_marked(b) for b in rows["blob"]], strict=True))

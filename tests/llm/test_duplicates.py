@@ -99,6 +99,22 @@ def test_repeated_passages(edge, docs, none, llm, monkeypatch):
     assert [(x["start"], x["end"]) for x in cut] == [(1, 26), (27, 52)]
 
 
+def chunk_of(table, size=20):
+    chunk = substrings.Chunk(size, substrings.WordHashes())
+    for doc_id, sha, text in table:
+        chunk.add(doc_id, sha, text)
+    return chunk
+
+
+def test_marks_of_a_chunk_are_keyed_by_document():
+    table = [(2 * i + j, 1000 + i, long_text(40, i)) for i in range(64) for j in range(2)]
+    got = list(chunk_of(table).rows(8))
+    marks = {key: substrings._marked(blob) for key, _, blob in got if blob}
+    assert {key for key, entries, _ in got if entries} == set(range(8)) and set(marks) == set(range(8, 16))
+    found = sorted((int(i), int(s)) for ids, _, starts in marks.values() for i, s in zip(ids, starts, strict=True))
+    assert found == [(2 * i + 1, s) for i in range(64) for s in range(21)]
+
+
 def test_packed_entries_come_back():
     key = np.array([5, 2**56 - 1, 7, 0], np.uint64)
     blob = substrings._blob(key, np.array([0, 0, 2, 2]), np.array([3, 900, 0, 70_000], np.uint32), np.array([-4, 1, 9]), np.array([11, 12, 13]))
