@@ -131,9 +131,11 @@ def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _marks(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray) -> bytes:
-    """Starts to mark, by document."""
+    """Starts to mark, by document, each once however many rows repeat the document."""
     order = np.lexsort((starts, shas, ids))
     ids, shas, starts = ids[order], shas[order], starts[order].astype(np.int64)
+    once = np.concatenate([[True], (starts[1:] != starts[:-1]) | (ids[1:] != ids[:-1]) | (shas[1:] != shas[:-1])])
+    ids, shas, starts = ids[once], shas[once], starts[once]
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (shas[1:] != shas[:-1])])
     at = np.flatnonzero(new)
     gaps = np.diff(starts, prepend=0)
@@ -142,10 +144,10 @@ def _marks(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray) -> bytes:
 
 
 def _by_bucket(ids: np.ndarray, shas: np.ndarray, starts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Marks by document bucket; all marks of a document have the same one."""
+    """Marks by document bucket, from id and text, so that copies spread; all marks of a document have the same one."""
     if not len(ids):
         return
-    bucket = shas % buckets
+    bucket = (mixed(mixed(ids.view(np.uint64)) ^ shas.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     ids, shas, starts, bucket = ids[by], shas[by], starts[by], bucket[by]
     own, first = np.unique(bucket, return_index=True)

@@ -115,6 +115,19 @@ def test_marks_of_a_chunk_are_keyed_by_document():
     assert found == [(2 * i + 1, s) for i in range(64) for s in range(21)]
 
 
+def test_marks_of_copies_spread_over_buckets():
+    text = long_text(40, 5)
+    got = [(key, substrings._marked(blob)) for key, _, blob in chunk_of([(i, 77, text) for i in range(64)]).rows(8) if blob]
+    assert len({key for key, _ in got}) == 8 and max(len(starts) for _, (_, _, starts) in got) <= 21 * 16
+    assert sorted(int(i) for _, (ids, _, _) in got for i in ids) == sorted(list(range(1, 64)) * 21)
+
+
+def test_marks_of_a_repeated_row_are_sent_once():
+    ids, shas, starts = (np.repeat(x, 5) for x in (np.array([-4, 9, 9]), np.array([1, 2, 2]), np.array([8, 0, 7])))
+    got = substrings._marked(substrings._marks(ids, shas, starts))
+    assert [x.tolist() for x in got] == [[-4, 9, 9], [1, 2, 2], [8, 0, 7]]
+
+
 def test_packed_entries_come_back():
     key = np.array([5, 2**56 - 1, 7, 0], np.uint64)
     blob = substrings._blob(key, np.array([0, 0, 2, 2]), np.array([3, 900, 0, 70_000], np.uint32), np.array([-4, 1, 9]), np.array([11, 12, 13]))
