@@ -7,9 +7,13 @@ most likely to hold its neighbours: sets of steps to a neighbouring cell in the
 distances to the cell borders (Lv et al. 2007). What the tables find is merged and ranked by the exact cosine
 in double precision, computed in the same way for every pair, so equal vectors tie exactly.
 
+Equal vectors are one class: of each, the index holds the k + 1 smallest ids, which are all that the k best of
+any query can name, and equal queries are searched once, for the k + 1 best with themselves. The products of a
+bucket are taken in blocks of BLOCK_PAIRS, however many queries visit it.
+
 Buckets are dealt to groups of about `group_rows` index rows; a group that holds more (one bucket may hold
-very many vectors) is split by vector, and its queries visit every split. Each group returns the `k` best per
-query, so no candidate list leaves a task. Queries that meet fewer than `k` vectors are compared with every
+very many vectors) is split by vector, and its queries visit every split. Each group returns the best per
+query, so no candidate list leaves a task. Queries that meet fewer than `k` others are compared with every
 vector, group by group, so nothing is missing when there are few.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, and vectors of another length than
@@ -28,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.common import columns, parts_for, written
+from candor.llm.common import attach, columns, parts_for, written
 
 TABLES = 8
 FUNCTIONS = 6
 WIDTH = 1.5
 PROBES = 128
 GROUP_ROWS = 4096
+BLOCK_PAIRS = 1 << 20
+EXACT_PAIRS = 1 << 16
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -94,22 +100,33 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def _exact(qs: np.ndarray, vs: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Exact cosines of the pairs (rows, cols), EXACT_PAIRS at a time."""
+    cuts = range(0, len(rows), EXACT_PAIRS)
+    return np.concatenate([np.zeros(0)] + [
+        _cosines(qs[rows[i : i + EXACT_PAIRS]], vs[cols[i : i + EXACT_PAIRS]]) for i in cuts])
+
+
 def best_pairs(
     q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, q_at: np.ndarray, v_at: np.ndarray, k: int
 ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The k best vectors (rows v_at) of each query (rows q_at): fast products first, then exact for the near best."""
-    qs, vs = q[q_at], v[v_at]
-    fast = (qs / np.linalg.norm(qs, axis=1)[:, None]) @ (vs / np.linalg.norm(vs, axis=1)[:, None]).T
-    fast[q_ids[q_at][:, None] == v_ids[v_at][None, :]] = -np.inf
-    edge = np.partition(fast, -k, axis=1)[:, -k] if fast.shape[1] > k else np.full(len(fast), -2.0)
-    rows, cols = np.nonzero(fast >= np.maximum(edge - 1e-9, -2.0)[:, None])
-    score = _cosines(qs[rows], vs[cols])
-    ids = v_ids[v_at][cols]
-    order = np.lexsort((ids, -score, rows))
-    rows, ids, score = rows[order], ids[order], score[order]
-    first = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - first < k
-    return [(q_ids[q_at][rows[keep]], ids[keep], score[keep])]
+    vs, out = v[v_at], []
+    ids_at, unit = v_ids[v_at], (vs / np.linalg.norm(vs, axis=1)[:, None]).T
+    each = max(1, BLOCK_PAIRS // max(len(v_at), 1))
+    for lo in range(0, len(q_at), each):
+        own = q_at[lo : lo + each]
+        qs = q[own]
+        fast = (qs / np.linalg.norm(qs, axis=1)[:, None]) @ unit
+        edge = np.partition(fast, -k, axis=1)[:, -k] if fast.shape[1] > k else np.full(len(fast), -2.0)
+        rows, cols = np.nonzero(fast >= (edge - 1e-9)[:, None])
+        score = _exact(qs, vs, rows, cols)
+        ids = ids_at[cols]
+        order = np.lexsort((ids, -score, rows))
+        rows, ids, score = rows[order], ids[order], score[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((q_ids[own][rows[keep]], ids[keep], score[keep]))
+    return out
 
 
 def _frame(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
@@ -195,6 +212,12 @@ def _scan(k: int):
     return one
 
 
+def few_copies(rows: DataFrame, n: int) -> DataFrame:
+    """The rows with the `n` smallest ids of each class of equal vectors; no task meets all of a class."""
+    place = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id")
+    return rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n).drop("place")
+
+
 def search(
     table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES,
@@ -202,7 +225,7 @@ def search(
 ) -> DataFrame:
     """`query_id, rank, vec_id, score`: the k nearest other rows found for each query.
 
-    `is_query` is a predicate on `vec_id`. Every usable row is indexed.
+    `is_query` is a predicate on `vec_id`. Every usable row is indexed, by itself or by its class.
     """
     rows = columns(table, vec_id=id_col, vec=vector_col).withColumn("vec", F.col("vec").cast("array<double>"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
@@ -215,8 +238,11 @@ def search(
     rows = rows.where(F.size("vec") == dim)
     hashes = Hashes(dim, tables, functions, width, seed)
     groups = parts_for(n, group_rows)
-    queries = rows.where(is_query)
-    indexed = index(rows, hashes, groups)
+    members = rows.where(is_query)
+    classes = written(members.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members")), "classes")
+    queries = classes.select("vec_id", "vec")
+    few = written(few_copies(rows, k + 1), "few")
+    indexed = index(few, hashes, groups)
     sizes = indexed.groupBy("tab", "grp").count()
     large = written(
         sizes.where(F.col("count") > 4 * group_rows).select(
@@ -228,23 +254,29 @@ def search(
     right = indexed.join(large, ["tab", "grp"], "left").withColumn("part", split).drop("splits")
     keys = ["tab", "grp", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda q, v: _search(k)(q, v), FOUND)
+        lambda q, v: _search(k + 1)(q, v), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def merged(pairs: DataFrame) -> DataFrame:
         once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
 
     first = written(merged(found), "found")
     short = queries.join(
-        first.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        first.where(F.col("rank") == min(k + 1, n)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     short = written(short.select(F.col("vec_id").alias("query_id"), "vec"), "short")
     result = first
-    if n > 1 and not short.isEmpty():
+    if not short.isEmpty():
         block = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
         q = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        every = q.groupBy("block").cogroup(rows.withColumn("block", block).groupBy("block")).applyInPandas(
-            lambda a, b: _scan(k)(a, b), FOUND)
+        every = q.groupBy("block").cogroup(few.withColumn("block", block).groupBy("block")).applyInPandas(
+            lambda a, b: _scan(k + 1)(a, b), FOUND)
         result = first.join(short.select("query_id"), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").unionByName(
             merged(every).select("query_id", "vec_id", "score", "rank"))
-    return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best_of = result.groupBy(F.col("query_id").alias("class")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
+    own = classes.select("vec", F.col("vec_id").alias("class"), "members").join(best_of, "class")
+    found = attach(members.select("vec", F.col("vec_id").alias("query_id")), written(own.drop("class"), "best"), "vec", "members")
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    return found.select("query_id", F.posexplode(others).alias("at", "hit")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")

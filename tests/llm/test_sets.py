@@ -58,6 +58,34 @@ def test_nearest_odd_rows(llm):
     assert neighbours.search(few.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_nearest_among_many_equal_vectors(llm):
+    rng = np.random.default_rng(3)
+    same, near = rng.standard_normal(8), rng.standard_normal((200, 8))
+    table = [(i, (same if i % 3 == 1 else near[i // 3]).tolist()) for i in range(600)]
+    table = [(i, (same * 2).tolist() if i % 30 == 10 else v) for i, v in table]
+    df = llm.createDataFrame(table, "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for q, _, v in rows(neighbours.search(df, F.col("vec_id") % 5 == 0, group_rows=16, probes=400), "query_id", "rank", "vec_id"):
+        got[q].append(v)
+    want = plain_nearest(table, lambda i: i % 5 == 0)
+    assert set(got) == set(want) and all(len(set(x)) == 5 for x in got.values())
+    equal = [q for q in want if q % 3 == 1]
+    assert len(equal) == 40 and all(got[q] == [v for v, _ in want[q]] for q in equal)
+    assert np.mean([got[q] == [v for v, _ in want[q]] for q in want]) >= 0.9
+    index = neighbours.few_copies(df.withColumnRenamed("embedding", "vec"), 6)
+    assert index.count() == 400 + 2 * 6
+
+
+def test_equal_vectors_are_scored_in_blocks(monkeypatch):
+    exact, sizes = neighbours._cosines, []
+    monkeypatch.setattr(neighbours, "_cosines", lambda a, b: sizes.append(len(a)) or exact(a, b))
+    q, v = np.ones((500, 4)), np.ones((4096, 4))
+    parts = neighbours.best_pairs(np.arange(500), q, np.arange(4096) + 1000, v, np.arange(500), np.arange(4096), 5)
+    ids = np.concatenate([p[1] for p in parts])
+    assert ids.tolist() == list(range(1000, 1005)) * 500
+    assert max(sizes) <= 1 << 16 and sum(sizes) == 500 * 4096
+
+
 def test_probes_come_in_the_order_of_their_cost():
     gaps, width = np.array([0.2, 0.7, 1.1]), 1.5
     sets = neighbours.probe_sets(gaps, width, 27)
