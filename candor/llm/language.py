@@ -4,10 +4,11 @@ For each language a suffix automaton is built of labelled text. A text is parsed
 phrase is the longest match that starts where the last phrase ended, plus the letter that broke it. The
 language that needs the fewest phrases per character wins; ties go to the language with the smaller name.
 
-Texts are lower-cased, letters outside the trained alphabet share one symbol, and every run of other
-characters is one space. Long texts are parsed in blocks of `BLOCK` symbols, the same ones for every
-language, so a task holds blocks, not parses. An automaton is a table of next states; a step that has no
-edge counts a phrase and goes on from the root, so many blocks advance together.
+Texts are lower-cased, every trained letter of any script is a symbol of its own, letters not trained on share
+one, and every run of other characters is one space. Long texts are parsed in blocks of `BLOCK` symbols, the same ones for every
+language, so a task holds blocks, not parses. An automaton is a table of next states for the most frequent
+symbols and a sorted list of edges for all others, so its size follows the training text and not the alphabet; a
+step that has no edge counts a phrase and goes on from the root, so many blocks advance together.
 
 Training takes the first parts of at most TRAIN_TEXTS texts per language, in the order of a hash, and at most
 `train_symbols` symbols for all languages together, so the broadcast tables have a fixed size. Null texts and texts without a letter are `und` with score
@@ -18,6 +19,7 @@ table gives no rows. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,24 +31,23 @@ from candor.llm.common import columns
 
 TRAIN_SYMBOLS = 160_000
 TRAIN_TEXTS = 200
-ALPHABET_SIZE = 48
+TABLE_SYMBOLS = 48
 BLOCK = 4096
 UNKNOWN = "und"
 
 
 class Alphabet:
-    """Letters to symbols: 0 is a space, 1 any letter not trained on, the rest the most frequent letters."""
+    """Letters to symbols: 0 is a space, 1 any letter not trained on, the rest the trained letters, frequent ones first."""
 
-    def __init__(self, texts: list[str], size: int = ALPHABET_SIZE) -> None:
+    def __init__(self, texts: list[str]) -> None:
         points = np.frombuffer("".join(texts).lower().encode("utf-32-le", "replace"), np.uint32)
         seen, n = np.unique(points, return_counts=True)
         letters = [(-int(k), int(p)) for p, k in zip(seen, n, strict=True) if chr(p).isalpha()]
-        self.letters = [p for _, p in sorted(letters)[: size - 2]]
-        self.size = size
+        self.letters = [p for _, p in sorted(letters)]
 
     def table(self) -> np.ndarray:
         """Symbol of every code point."""
-        out = np.zeros(0x110000, np.uint8)
+        out = np.zeros(0x110000, np.min_scalar_type(1 + len(self.letters)))
         for lo in range(0, 0x110000, 0x1000):
             if not 0xD800 <= lo < 0xE000:
                 out[lo : lo + 0x1000] = [chr(p).isalpha() for p in range(lo, lo + 0x1000)]
@@ -66,8 +67,30 @@ def symbols(texts: list[str], table: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def automaton(train: np.ndarray, size: int) -> np.ndarray:
-    """Suffix automaton of `train` as a flat table: 2 * next state + 1 if the step ends a phrase.
+class Automaton(NamedTuple):
+    """Steps: 2 * next state + 1 if the step ends a phrase. Symbols under the table's width have a cell in each state's
+    row, the edges of all others are sorted by state and symbol."""
+
+    table: np.ndarray
+    edges: np.ndarray
+    targets: np.ndarray
+
+    def steps(self, state: np.ndarray, symbol: np.ndarray, size: int) -> np.ndarray:
+        if not len(symbol) or symbol.max() < size:
+            return self.table[state * size + symbol]
+        out = self.table[state * size + np.minimum(symbol, size - 1)]
+        far = np.flatnonzero(symbol >= size)
+        out[far] = 1
+        if len(self.edges):
+            key = (state[far] << 32) | symbol[far]
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[at] == key
+            out[far[hit]] = self.targets[at[hit]]
+        return out
+
+
+def automaton(train: np.ndarray, size: int) -> Automaton:
+    """Suffix automaton of `train`, with table cells for the symbols under `size`.
 
     A missing edge goes back to the root, where the next phrase starts after the symbol that broke the match.
     """
@@ -100,15 +123,19 @@ def automaton(train: np.ndarray, size: int) -> np.ndarray:
     table = np.ones((len(nxt), size), np.int32)
     state = np.repeat(np.arange(len(nxt)), [len(d) for d in nxt])
     edge = np.fromiter((c for d in nxt for c in d), np.int64)
-    table[state, edge] = 2 * np.fromiter((t for d in nxt for t in d.values()), np.int64)
-    return table.ravel()
+    target = 2 * np.fromiter((t for d in nxt for t in d.values()), np.int64)
+    near = edge < size
+    table[state[near], edge[near]] = target[near]
+    key, target = (state[~near] << 32) | edge[~near], target[~near].astype(np.int32)
+    order = np.argsort(key)
+    return Automaton(table.ravel(), key[order], target[order])
 
 
-def phrases(blocks: list[np.ndarray], table: np.ndarray, size: int) -> np.ndarray:
+def phrases(blocks: list[np.ndarray], table: Automaton, size: int) -> np.ndarray:
     """Number of phrases of each block, all blocks advancing one symbol at a time. Blocks go long to short."""
     lengths = np.array([len(b) for b in blocks])
     width = int(lengths[0])
-    grid = np.zeros((len(blocks), width), np.uint8)
+    grid = np.zeros((len(blocks), width), blocks[0].dtype)
     for row, b in zip(grid, blocks, strict=True):
         row[: len(b)] = b
     grid = np.ascontiguousarray(grid.T).astype(np.int64)
@@ -116,7 +143,7 @@ def phrases(blocks: list[np.ndarray], table: np.ndarray, size: int) -> np.ndarra
     state, ends = np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64)
     for t in range(width):
         n = int(alive[t])
-        step = table[state[:n] * size + grid[t, :n]]
+        step = table.steps(state[:n], grid[t, :n], size)
         ends[:n] += step & 1
         state[:n] = step >> 1
     return ends + (state > 0)
@@ -150,7 +177,7 @@ class Model:
     def __init__(self, trained: list[tuple[str, list[str]]], train_symbols: int) -> None:
         self.langs = [lang for lang, _ in trained]
         alphabet = Alphabet([t for _, texts in trained for t in texts])
-        self.size = alphabet.size
+        self.size = min(TABLE_SYMBOLS, 2 + len(alphabet.letters))
         self.letters = alphabet.table()
         each = train_symbols // max(len(trained), 1)
         self.tables = [automaton(np.concatenate(symbols(texts, self.letters))[:each], self.size) for _, texts in trained]

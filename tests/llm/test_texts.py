@@ -55,6 +55,33 @@ def test_languages_held_out(llm, edge, none):
     assert {r[0] for r in rows(language.identify(edge, nothing), "lang_pred")} == {"und"}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abcd ", max_size=40), min_size=1, max_size=6), st.text("abc ", min_size=1, max_size=60), st.integers(1, 5))
+def test_phrases_do_not_depend_on_the_width_of_the_table(texts, train, size):
+    code = {" ": 0, "a": 2, "b": 3, "c": 70_000, "d": 4}
+    steps = language.automaton(np.array([code[c] for c in train]), size)
+    blocks = sorted((np.array([code[c] for c in t], np.uint32) for t in texts if t), key=len, reverse=True)
+    if blocks:
+        names = {v: k for k, v in code.items()}
+        want = [plain_phrases("".join(names[x] for x in b.tolist()), train) for b in blocks]
+        assert language.phrases(blocks, steps, size).tolist() == want
+
+
+def scripts(rng, first, letters, n):
+    """Texts of `n` words over `letters` letters from code point `first` on: word lengths are the same in every script."""
+    own = [[first + x for x in rng.integers(0, letters, 2)] for _ in range(80)]
+    return [" ".join("".join(map(chr, own[i])) for i in rng.integers(0, 80, n)) for _ in range(12)]
+
+
+def test_languages_of_several_scripts_with_many_letters():
+    rng = np.random.default_rng(11)
+    texts = {"aa": scripts(rng, 0x61, 26, 60), "bb": scripts(rng, 0x430, 32, 60), "ko": scripts(rng, 0xAC00, 400, 60),
+             "zh": scripts(rng, 0x4E00, 400, 60)}
+    model = language.Model([(lang, t[:8]) for lang, t in texts.items()], 8_000)
+    for lang, t in texts.items():
+        assert model.predict(t[8:])[0] == [lang] * 4
+
+
 def test_label_source_and_id_do_not_matter(llm):
     docs = llm.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(docs)
