@@ -10,9 +10,10 @@ language, so a task holds blocks, not parses. An automaton is a table of next st
 symbols and a sorted list of edges for all others, so its size follows the training text and not the alphabet; a
 step that has no edge counts a phrase and goes on from the root, so many blocks advance together.
 
-Training takes the first parts of at most TRAIN_TEXTS texts per language, in the order of a hash, and at most
-`train_symbols` symbols for all languages together, so the broadcast tables have a fixed size. Null texts and texts without a letter are `und` with score
-0, as is everything if nothing is labelled. Rows are judged one by one, so repeated rows agree; an empty
+Training takes one part of each of at most TRAIN_TEXTS texts per language, at a place and in an order that hashes
+choose (parts under SHORT_PIECE characters come last), and at most `train_symbols` symbols for all languages
+together, so the broadcast tables have a fixed size. Null texts and texts without a letter are `und` with score
+0, as is everything if nothing is labelled; only null texts and texts without a letter are not kept. Rows are judged one by one, so repeated rows agree; an empty
 table gives no rows. Other columns play no part.
 """
 
@@ -32,6 +33,7 @@ from candor.llm.common import columns
 TRAIN_SYMBOLS = 160_000
 TRAIN_TEXTS = 200
 TABLE_SYMBOLS = 48
+SHORT_PIECE = 20
 BLOCK = 4096
 UNKNOWN = "und"
 
@@ -156,10 +158,12 @@ def train_texts(docs: DataFrame, train_symbols: int) -> list[tuple[str, list[str
     if not langs:
         return []
     each = train_symbols // len(langs)
-    piece = F.substring("text", 1, max(each // 8, 200))  # at least eight texts teach a language
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
+    size = max(each // 8, 200)  # at least eight texts teach a language
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
+    piece = F.substring(F.col("text"), place, F.lit(size))
+    order = Window.partitionBy("lang").orderBy(F.length("piece") < SHORT_PIECE, F.xxhash64("piece"), "piece")
     rows = (
-        labelled.select("lang", piece.alias("piece")).where(F.length("piece") >= 20)
+        labelled.select("lang", piece.alias("piece")).where(F.length("piece") > 0)
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_TEXTS)
         .withColumn("before", F.sum(F.length("piece")).over(
             Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)))
@@ -242,6 +246,8 @@ def identify(
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text has a language, with all their columns."""
+    """The rows of `docs` whose text has a language, or a letter if nothing was labelled, with all their columns."""
+    if not model.langs:
+        return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
     ref = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.where(predict(F.col(f"`{text_col}`"), ref)["lang"] != UNKNOWN)
+    return docs.where(predict(F.col(f"`{text_col}`"), ref)["score"] > 0)

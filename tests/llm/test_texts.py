@@ -82,6 +82,23 @@ def test_languages_of_several_scripts_with_many_letters():
         assert model.predict(t[8:])[0] == [lang] * 4
 
 
+def test_short_texts_and_shared_headers_teach(llm):
+    rng = np.random.default_rng(12)
+    header = " ".join(scripts(rng, 0x61, 26, 900)[0].split()) + " "
+    texts = {"el": [header + t for t in scripts(rng, 0x3B1, 17, 1500)], "ru": [header + t for t in scripts(rng, 0x430, 32, 1500)],
+             "ka": [t[:9] for t in scripts(rng, 0x10D0, 33, 4)], "und": scripts(rng, 0x5D0, 27, 60)}
+    df = llm.createDataFrame([(i, t, lang) for lang, all_ in texts.items() for i, t in enumerate(all_)], "doc_id long, text string, lang string")
+    model = language.fit(df, 8_000)
+    assert model.langs == ["el", "ka", "ru", "und"]
+    for lang in ("el", "ru"):
+        assert model.predict([t[len(header):] for t in texts[lang]])[0] == [lang] * 12
+    assert model.predict(texts["ka"])[0] == ["ka"] * 12
+    assert language.keep_identified(df, model).count() == 48
+    nothing = language.fit(df.withColumn("lang", F.lit(None).cast("string")))
+    more = df.select("text").union(llm.createDataFrame([("12 !",), (None,)], "text string"))
+    assert language.keep_identified(more, nothing).count() == 48
+
+
 def test_label_source_and_id_do_not_matter(llm):
     docs = llm.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(docs)
