@@ -251,6 +251,12 @@ def _market(url: Column, parts: Column) -> Column:
     )
 
 
+def _title_case(text: Column) -> Column:
+    """A capital at the start of every run of letters, also after digits and signs, and small letters elsewhere."""
+    runs = F.split(text, r"(?<=[^\p{Lu}\p{Ll}\p{Lt}])(?=[\p{Lu}\p{Ll}\p{Lt}])")
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def slug_title(url: Column) -> Column:
     """Title guessed from the last meaningful path segment."""
     return let(path_parts(url), _slug_title)
@@ -267,7 +273,7 @@ def _slug_title(parts: Column) -> Column:
             | s.rlike(r"^\d+$") | (F.length(s) < 4)
         ),
     )
-    return F.nullif(F.initcap(strip(F.regexp_replace(F.try_element_at(good, F.lit(-1)), "[-_]", " "))), F.lit(""))
+    return F.nullif(_title_case(strip(F.regexp_replace(F.try_element_at(good, F.lit(-1)), "[-_]", " "))), F.lit(""))
 
 
 def slug_category(url: Column) -> Column:
@@ -275,4 +281,4 @@ def slug_category(url: Column) -> Column:
     head = F.get(path_parts(url), F.lit(0))
     words = strip(F.replace(head, F.lit("-"), F.lit(" ")))
     ok = ~F.lower(words).isin(GENERIC_SEGMENTS) & ~head.rlike(r"^\d+$") & (F.length(words) >= 3)
-    return F.when(ok, F.initcap(words))
+    return F.when(ok, _title_case(words))

@@ -218,6 +218,16 @@ def _(spark, d):
     return dedup.keep_first(one, ["reviewerID", "category"], ["row_pos"])
 
 
+@register(
+    "keep_first_in_each_file",
+    f"""WITH {CLEANED_SQL} SELECT source_file, "reviewerID", category, row_pos FROM cleaned
+ QUALIFY row_number() OVER (PARTITION BY source_file, "reviewerID", category ORDER BY row_pos) = 1""",
+)
+def _(spark, d):
+    rows = _cleaned(spark, d).select("source_file", "reviewerID", "category", "row_pos")
+    return dedup.keep_first(rows, ["source_file", "reviewerID", "category"], ["row_pos"])
+
+
 @register(
     "dropped_rows",
     f"""WITH {CLEANED_SQL}, {KEPT_SQL} SELECT a.source_file, {big('a.n', 'rows_read')}, {big('b.n', 'rows_kept')},

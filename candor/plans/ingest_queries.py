@@ -134,6 +134,27 @@ def _(spark, d):
     return u.select("request_id", urls.slug_title(F.col("url")).alias("title"), urls.slug_category(F.col("url")).alias("category"))
 
 
+#: Title and category of the other forms as SQL; a piece of ten letters and digits is no title.
+_OTHER_SLUGS = {
+    1: ("'Ref=Sr 1 1'", "'Some Title'"), 5: ("'Offer Listing'", "NULL"), 7: ("CASE WHEN length(n) <> 6 THEN 'Oazt' || n END", "NULL"),
+    13: ("'Samsung Soundbar Mc8Rpk ' || n", "NULL"), 14: ("'P Mp000' || n", "'Kurti'"),
+    15: ("CASE WHEN length(n) = 8 THEN 'Women Kurtis' ELSE '3J' || n END", "'Women Kurtis'"),
+    16: ("'Green Kurta ' || n", "'Find'"), 17: ("'Audio ' || n", "NULL"), 21: ("'Signin'", "NULL"), 22: ("'Dress'", "'Dress'"),
+    23: ("NULL", "'Foo'"),
+}
+_ALL_SLUGS = {k: tuple(f"'{x}'" for x in v) for k, v in _SLUGS.items()} | _OTHER_SLUGS
+
+
+@register(
+    "url_slugs_all_forms",
+    f"""WITH {REQUESTS_SQL} SELECT request_id, CASE form {" ".join(f"WHEN {k} THEN {v[0]}" for k, v in _ALL_SLUGS.items())} END AS title,
+ CASE form {" ".join(f"WHEN {k} THEN {v[1]}" for k, v in _ALL_SLUGS.items())} END AS category FROM keyed""",
+)
+def _(spark, d):
+    return url_requests(spark, d).select(
+        "request_id", urls.slug_title(F.col("url")).alias("title"), urls.slug_category(F.col("url")).alias("category"))
+
+
 # ---- Pages --------------------------------------------------------------------------------------
 
 

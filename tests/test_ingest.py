@@ -55,6 +55,18 @@ def test_jsonld_page(spark):
     assert [(x.rating, x.reviewer_name) for x in r] == [(5.0, "Asha")]
 
 
+def test_slugs_of_any_form(spark):
+    want = {
+        "https://www.reliancedigital.in/product/samsung-soundbar-mc8rpk-100013": ("Samsung Soundbar Mc8Rpk 100013", None),
+        "https://www.amazon.com/some-title/dp/B000000001/ref=sr_1_1": ("Ref=Sr 1 1", "Some Title"),
+        "https://www.amazon.in/dp/B000000001?utm_source=x": (None, None), "not a url 100018": (None, None),
+        "  http://shop1.example.org/a/?x=1  ": (None, None), "https://www.meesho.com/women-kurtis/pl/3j100015": ("3J100015", "Women Kurtis"),
+    }
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    got = df.select("url", urls.slug_title(F.col("url")).alias("t"), urls.slug_category(F.col("url")).alias("c")).collect()
+    assert {r["url"]: (r["t"], r["c"]) for r in got} == want
+
+
 def test_titles(spark):
     cases = {"Buy  Red Shoe | Store": "Red Shoe", "Shop X1 Price in India - Y": "X1", "Access Denied": None, "": None, "Kurta Online": "Kurta"}
     for text, want in cases.items():
