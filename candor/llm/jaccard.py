@@ -33,7 +33,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -57,6 +56,7 @@ from candor.llm.common import (
 RARE = 32
 K = 2
 ROUNDS = 5
+SET_ROWS = 1 << 18
 ENTRY = ["class", "size", "shared", "behind"]
 MARK = [f"mark_{i}" for i in range(8)]
 RANGE_TOKENS = 1 << 21
@@ -258,6 +258,25 @@ def _pairs(entries: DataFrame, sets: DataFrame, key: str, percent: int, k: int)
     return a.join(b, on).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
 
+def blocks_of_sets(n: int, k: int, each: int = SET_ROWS) -> Iterator[np.ndarray]:
+    """All increasing k-tuples of 0 .. n - 1, in at most `each` rows at a time."""
+
+    def grown(sets: np.ndarray) -> Iterator[np.ndarray]:
+        if sets.shape[1] == k:
+            if len(sets):
+                yield sets
+            return
+        more = n - 1 - sets[:, -1]  # how many tuples go on from each
+        ends = np.cumsum(more)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, each):
+            at = np.arange(lo, min(lo + each, int(ends[-1])))
+            row = np.searchsorted(ends, at, "right")
+            yield from grown(np.column_stack([sets[row], sets[row, -1] + 1 + at - (ends - more)[row]]))
+
+    for lo in range(0, n, each):
+        yield from grown(np.arange(lo, min(lo + each, n), dtype=np.int64)[:, None])
+
+
 def _combined(entries: DataFrame, k: int) -> DataFrame:
     """Combinations of k frequent tokens of each class, as one key each."""
 
@@ -266,13 +285,13 @@ def _combined(entries: DataFrame, k: int) -> DataFrame:
             for c, size, shared, comp, held in zip(*[frame[x] for x in ("class", "size", "shared", "component", "held")], strict=True):
                 tokens = np.array([x["token"] for x in held], np.int64).view(np.uint64)
                 behind = np.array([x["behind"] for x in held], np.int64)
-                sets = np.array(list(combinations(range(len(held)), k)), np.int64)
-                key = np.zeros(len(sets), np.uint64)
-                for j in range(k):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + tokens[sets[:, j]])
-                yield pd.DataFrame({
-                    "combo": key.view(np.int64), "class": c, "size": size, "shared": shared,
-                    "behind": behind[sets].min(1), "component": comp})
+                for sets in blocks_of_sets(len(held), k):
+                    key = np.zeros(len(sets), np.uint64)
+                    for j in range(k):
+                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + tokens[sets[:, j]])
+                    yield pd.DataFrame({
+                        "combo": key.view(np.int64), "class": c, "size": size, "shared": shared,
+                        "behind": behind[sets].min(1), "component": comp})
 
     grouped = entries.groupBy("class", "size", "shared", "component").agg(
         F.sort_array(F.collect_list(F.struct("token", "behind"))).alias("held")).where(F.size("held") >= k)

@@ -1,5 +1,7 @@
 """Exact copies, repeated passages and near copies against plain versions."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from helpers import DOCS, SPACE, edge_rows, long_text, rows, sha, words
@@ -25,6 +27,13 @@ def plain_exact(table):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("n, k, each", [(0, 2, 5), (1, 2, 5), (7, 1, 3), (9, 2, 4), (8, 3, 6), (30, 2, 1 << 18)])
+def test_token_sets_come_in_blocks(n, k, each):
+    blocks = list(jaccard.blocks_of_sets(n, k, each))
+    assert all(0 < len(b) <= each for b in blocks)
+    assert sorted(map(tuple, (x for b in blocks for x in b.tolist()))) == list(combinations(range(n), k))
+
+
 @pytest.mark.parametrize("batches", [1, 2, 4])
 def test_exact_copies(edge, docs, batches):
     got = rows(exact_dedup.exact_duplicates(edge, batches))
