@@ -1,6 +1,7 @@
 """Nothing is cut: long lists, deep payloads, long titles, and products without an id."""
 
 import json
+import sys
 
 from pyspark.sql import functions as F
 
@@ -61,6 +62,14 @@ def test_long_and_deep_payloads(spark):
     assert len(got) == 300 + 1 + 1 and "at the bottom" in got and None in got
 
 
+def test_reviews_of_a_payload_deeper_than_the_python_stack(caplog):
+    n = sys.getrecursionlimit() + 200
+    body = '{"reviews": [{"text": "first"}], "z": ' + '{"inner": [0, ' * n + '{"reviews": [{"text": "last"}]}' + "]}" * n + "}"
+    assert [json.loads(x)["text"] for x in payloads._objects(body)] == ["first", "last"]
+    assert payloads._objects("no json") == payloads._objects(None) == []
+    assert payloads._objects("[" * 10**6 + "]" * 10**6) == [] and "nested too deep" in caplog.text
+
+
 def test_long_page_lists_and_titles(spark):
     nodes = {"@type": "Product", "name": "x", "review": [
         {"@type": "Review", "reviewBody": f"long enough body number {i}", "author": "A"} for i in range(120)]}
