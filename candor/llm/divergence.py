@@ -3,10 +3,12 @@
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. Single-pass in-memory indexing:
 
 1. A task counts postings (language, source, term: occurrences, documents) in memory until they hold `BLOCK_BYTES`,
-   then spills them as runs sorted by term, one per language, source and hash shard of the term, cut into chunks.
+   then spills them as runs sorted by term, one per language and hash shard of the term, cut into chunks.
 2. The chunks of a shard come to one task in the order of their first terms, whatever run they are from. A heap
    merges the open chunks, so the task holds the chunks that overlap in terms and no whole shard. Terms of too
-   few documents of their language go; the others are written with their counts by source.
+   few documents of their language go; the others are written with their counts by source. The number of shards
+   is the square root of the bytes of text over `SHARD_BYTES`: every run has a chunk for every shard, so shards in
+   proportion to the text would make chunks in proportion to its square.
 3. With N the sum of a group's counts and V the number of its language's terms, a count c has the scaled chance
    p(c) = 1 + floor(10^9 (c + 1) / (N + V)); a group stands from another by f = floor((p - q)^2 / q).
 4. Sums of f over all terms are made of what a term is worth that both lack, a correction for each term of the
@@ -25,6 +27,7 @@ play no part. A source or language of any size is spread over all shards.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,17 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.common import attach, columns, narrow, pack, parts_for, unpack, written
+from candor.llm.common import attach, columns, narrow, pack, unpack, written
 
 SCALE = 1_000_000_000
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 64 << 20
 CHUNK_TERMS = 4_096
-SHARD_BYTES = 8 << 20
-ENTRY_BYTES = 260  # a term's place in two counters, beside its letters
+SHARD_BYTES = 64 << 10
+ENTRY_BYTES = 160  # a term's place in two counters, beside its letters
 
 #: Letters lower-cased, bytes of longer characters kept, all else a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_RUNS = "shard int, lang string, source string, first binary, terms binary, numbers binary"
+_RUNS = "shard int, lang string, first binary, sources array<string>, terms binary, numbers binary"
 _FREQUENCIES = "lang string, term string, sources array<string>, counts array<long>, total long, documents long"
 
 
@@ -59,33 +62,56 @@ class Block:
 
     def __init__(self, shards: int) -> None:
         self.shards = shards
-        self.groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        self.langs: dict[str, dict[str, tuple[Counter, Counter]]] = {}
         self.held = 0
 
     def add(self, lang: str, source: str, found: list[bytes]) -> None:
-        counts, documents = self.groups.setdefault((lang, source), (Counter(), Counter()))
+        counts, documents = self.langs.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
         own = set(found)
-        self.held += sum(len(t) + ENTRY_BYTES for t in own if t not in counts)
+        new = own.difference(counts)
+        self.held += sum(map(len, new)) + len(new) * ENTRY_BYTES
         counts.update(found)
         documents.update(own)
 
     def spill(self) -> Iterator[pd.DataFrame]:
-        """The runs of all shards, and an empty block."""
-        for (lang, source), (counts, documents) in self.groups.items():
-            by_shard: dict[int, list[bytes]] = {}
-            for term in counts:
-                by_shard.setdefault(xxhash.xxh3_64_intdigest(term) % self.shards, []).append(term)
-            out = []
-            for shard, run in by_shard.items():
-                run.sort()
-                for i in range(0, len(run), CHUNK_TERMS):
-                    chunk = run[i : i + CHUNK_TERMS]
-                    c, d = (np.fromiter((of[t] for t in chunk), np.uint64, len(chunk)) for of in (counts, documents))
-                    out.append((shard, lang, source, chunk[0], b"\n".join(chunk), pack(narrow(c), narrow(d))))
-            yield pd.DataFrame(out, columns=["shard", "lang", "source", "first", "terms", "numbers"])
-        self.groups.clear()
+        """A run for each language, cut by shard, and an empty block."""
+        for lang, groups in self.langs.items():
+            run = sorted(set().union(*(counts for counts, _ in groups.values())))
+            place = {term: i for i, term in enumerate(run)}
+            names = sorted(groups)
+            at, of, n, d = [], [], [], []
+            for k, source in enumerate(names):
+                counts, documents = groups[source]
+                at.append(np.fromiter(map(place.__getitem__, counts), np.int64, len(counts)))
+                of.append(np.full(len(counts), k, np.uint64))
+                n.append(np.fromiter(counts.values(), np.uint64, len(counts)))
+                d.append(np.fromiter(map(documents.__getitem__, counts), np.uint64, len(counts)))
+            at, of, n, d = (np.concatenate(x) for x in (at, of, n, d))
+            shard = np.fromiter(map(xxhash.xxh3_64_intdigest, run), np.uint64, len(run)) % np.uint64(self.shards)
+            # Postings by shard, term and source.
+            own = shard[at]
+            order = np.lexsort((of, at, own))
+            yield self._chunks(lang, names, run, shard, own[order], at[order], of[order], n[order], d[order])
+        self.langs.clear()
         self.held = 0
 
+    def _chunks(self, lang: str, names: list[str], run: list[bytes], shard, own, at, of, n, d) -> pd.DataFrame:
+        out = []
+        terms_of = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[terms_of], np.arange(self.shards, dtype=np.uint64), side="right")
+        begins = np.concatenate([[0], ends[:-1]])
+        lows = np.searchsorted(own, np.arange(self.shards, dtype=np.uint64))
+        for s in range(self.shards):
+            low = lows[s]
+            for i in range(begins[s], ends[s], CHUNK_TERMS):
+                here = terms_of[i : min(i + CHUNK_TERMS, ends[s])]
+                high = low + np.searchsorted(at[low : lows[s + 1] if s + 1 < self.shards else len(at)], here[-1], side="right")
+                each = np.diff(np.searchsorted(at[low:high], here), append=high - low)
+                chunk = [run[j] for j in here.tolist()]
+                out.append((s, lang, chunk[0], names, b"\n".join(chunk), pack(*(narrow(x) for x in (each, of[low:high], n[low:high], d[low:high])))))
+                low = high
+        return pd.DataFrame(out, columns=["shard", "lang", "first", "sources", "terms", "numbers"])
+
 
 def runs(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Term-sorted runs of the postings of `docs` (text, lang, source)."""
@@ -102,59 +128,80 @@ def runs(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFr
     return docs.mapInPandas(index, _RUNS)
 
 
-def _merged(chunks: Iterator[tuple]) -> Iterator[tuple]:
-    """(shard, language, term, source, count, documents) in that order, from chunks in order of their first terms."""
-    heap: list[tuple] = []
-    at, seq = None, 0
+class Chunk:
+    """A stretch of one run: terms in order, each with its postings."""
+
+    def __init__(self, sources: list[str], blob: bytes, numbers: bytes) -> None:
+        self.sources, self.terms = list(sources), blob.split(b"\n")
+        each, of, counts, documents = unpack(numbers)
+        ends = np.cumsum(each, dtype=np.int64)
+        self.documents = np.add.reduceat(documents.astype(np.int64), ends - each).tolist()
+        self.ends, self.of, self.counts = ends.tolist(), of.tolist(), counts.tolist()
+
+    def add_to(self, sums: dict[str, int], place: int) -> None:
+        for i in range(self.ends[place - 1] if place else 0, self.ends[place]):
+            source = self.sources[self.of[i]]
+            sums[source] = sums.get(source, 0) + self.counts[i]
+
 
-    def drain(before: bytes | None) -> Iterator[tuple]:
+class Merge:
+    """A heap over the open chunks of a shard and language; a term is met in all of them at once."""
+
+    def __init__(self, least: int) -> None:
+        self.least, self.seq = least, 0
+        self.heap: list[tuple[bytes, int, int, Chunk]] = []
+
+    def open(self, first: bytes, chunk: Chunk) -> None:
+        self.seq += 1
+        heapq.heappush(self.heap, (first, self.seq, 0, chunk))
+
+    def drain(self, before: bytes | None) -> Iterator[tuple[bytes, dict[str, int], int]]:
+        """The terms before `before` (None: all) of enough documents, with their occurrences by source."""
+        heap, least = self.heap, self.least
         while heap and (before is None or heap[0][0] < before):
-            term, _, place, (source, own, counts, documents) = heap[0]
-            yield (*at, term, source, counts[place], documents[place])
-            if place + 1 < len(own):
-                heapq.heapreplace(heap, (own[place + 1], heap[0][1], place + 1, heap[0][3]))
-            else:
-                heapq.heappop(heap)
-
-    for shard, lang, source, first, blob, numbers in chunks:
-        if at != (shard, lang):
-            yield from drain(None)
-            at = (shard, lang)
-        yield from drain(first)
-        counts, documents = (x.tolist() for x in unpack(numbers))
-        heapq.heappush(heap, (first, seq, 0, (source, blob.split(b"\n"), counts, documents)))
-        seq += 1
-    yield from drain(None)
+            term = heap[0][0]
+            documents, met = 0, []
+            while heap and heap[0][0] == term:
+                _, seq, place, chunk = heap[0]
+                documents += chunk.documents[place]
+                met.append((chunk, place))
+                if place + 1 < len(chunk.terms):
+                    heapq.heapreplace(heap, (chunk.terms[place + 1], seq, place + 1, chunk))
+                else:
+                    heapq.heappop(heap)
+            if documents >= least:
+                sums: dict[str, int] = {}
+                for chunk, place in met:
+                    chunk.add_to(sums, place)
+                yield term, sums, documents
 
 
 def frequencies(spilled: DataFrame, shards: int, least: int) -> DataFrame:
     """Each language's terms of at least `least` documents, with occurrences by source."""
+    names = ["lang", "term", "sources", "counts", "total", "documents"]
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = (row for f in frames for row in f.itertuples(index=False, name=None))
-        out: list[tuple] = []
-        key, by_source, documents = None, {}, 0
-
-        def close() -> None:
-            if key is not None and documents >= least:
-                names = sorted(by_source)
-                counts = [by_source[s] for s in names]
-                out.append((key[1], key[2].decode(), names, counts, sum(counts), documents))
-
-        for shard, lang, term, source, count, docs in _merged(chunks):
-            if key != (shard, lang, term):
-                close()
-                key, by_source, documents = (shard, lang, term), {}, 0
-                if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=["lang", "term", "sources", "counts", "total", "documents"])
-                    out = []
-            by_source[source] = by_source.get(source, 0) + count
-            documents += docs
-        close()
-        yield pd.DataFrame(out, columns=["lang", "term", "sources", "counts", "total", "documents"])
-
-    dealt = spilled.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "first", "source")
-    return dealt.mapInPandas(merge, _FREQUENCIES)
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        merge, at = Merge(least), None
+        for frame in frames:
+            for shard, lang, first, sources, blob, numbers in frame.itertuples(index=False, name=None):
+                if at != (shard, lang):
+                    yield from ((at[1], *x) for x in merge.drain(None))
+                    at = (shard, lang)
+                yield from ((lang, *x) for x in merge.drain(first))
+                merge.open(first, Chunk(sources, blob, numbers))
+        yield from ((at[1], *x) for x in merge.drain(None))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for lang, term, sums, documents in found(frames):
+            out.append((lang, term.decode(), list(sums), list(sums.values()), sum(sums.values()), documents))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    dealt = spilled.repartitionById(shards, "shard").sortWithinPartitions("shard", "lang", "first")
+    return dealt.mapInPandas(run, _FREQUENCIES)
 
 
 def chance(count: Column, n: Column, v: Column) -> Column:
@@ -225,7 +272,8 @@ def audit(
     """
     rows = columns(docs, lang=lang_col, source=source_col, text=text_col)
     rows = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    shards = parts_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, shard_bytes)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(math.sqrt(size / shard_bytes)))
     kept = written(frequencies(runs(rows, shards, block_bytes), shards, least), "frequencies")
     each = F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("count"))).alias("x")
     postings = kept.select("lang", "term", "total", each).select("lang", "term", "total", "x.source", "x.count")

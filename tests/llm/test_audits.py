@@ -216,7 +216,7 @@ def audited(df, **kw):
     return rows(divergence.audit(df, **kw), "lang", "source", "part", "item", "value", "rank")
 
 
-@pytest.mark.parametrize("block_bytes,shard_bytes", [(1, 2_000), (4_000, 500), (1 << 20, 1 << 20)])
+@pytest.mark.parametrize("block_bytes,shard_bytes", [(1, 500), (4_000, 50), (1 << 20, 1 << 20)])
 def test_audit(llm, block_bytes, shard_bytes):
     # Many runs that overlap, a source with a third of all rows, terms on the edge of three documents.
     words = ["Ähre", "brot", "Brot", "x1y", "naïve", "日本", "zoo", "ant", "bee", "cat", "dog"]
