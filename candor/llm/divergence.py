@@ -30,6 +30,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -68,8 +69,7 @@ class Block:
     def add(self, lang: str, source: str, found: list[bytes]) -> None:
         counts, documents = self.langs.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
         own = set(found)
-        new = own.difference(counts)
-        self.held += sum(map(len, new)) + len(new) * ENTRY_BYTES
+        self.held += sum(len(t) + ENTRY_BYTES for t in filterfalse(counts.__contains__, own))
         counts.update(found)
         documents.update(own)
 
@@ -224,11 +224,18 @@ def _worth(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _corrections(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What the terms that two groups share change in the sum of the pair: rows of `groups, p, zero` per term."""
+    """What the terms that two groups share change in the sum of the pair: rows of `groups, p, zero` per term.
+
+    The groups of a language are few for most terms but not bounded, so sums are kept per batch for the groups met there.
+    """
     for frame in frames:
         sizes = frame["groups"].map(len).to_numpy()
+        met = np.unique(np.concatenate([np.zeros(0, np.int64), *frame["groups"]]))
+        dense = len(met) <= 1_000
+        sums = np.zeros(len(met) ** 2 if dense else 0, np.int64)
         for m in np.unique(sizes[sizes > 1]):
             g, p, z = (np.stack(frame.loc[sizes == m, c].tolist()).astype(np.int64) for c in ("groups", "p", "zero"))
+            g = np.searchsorted(met, g)
             # Blocks of about a million pairs: some terms with all their groups, or some groups of one term.
             wide = max(1, (1 << 20) // m)
             for t in range(0, len(g), max(1, wide // m)):
@@ -236,13 +243,24 @@ def _corrections(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for a in range(0, m, wide):
                     at = slice(a, a + wide)
                     pa, za, pb, zb = p[own, at, None], z[own, at, None], p[own, None, :], z[own, None, :]
-                    value = _worth(pa, pb) - _worth(pa, zb) - _worth(za, pb) + _worth(za, zb)
-                    ga, gb = (x.ravel() for x in np.broadcast_arrays(g[own, at, None], g[own, None, :]))
-                    other = ga != gb
-                    pairs, place = np.unique(np.stack([ga[other], gb[other]]), axis=1, return_inverse=True)
-                    sums = np.zeros(pairs.shape[1], np.int64)
-                    np.add.at(sums, place.ravel(), value.ravel()[other])
-                    yield pd.DataFrame({"a": pairs[0], "b": pairs[1], "value": sums})
+                    value = (_worth(pa, pb) - _worth(pa, zb) - _worth(za, pb) + _worth(za, zb)).ravel()
+                    pair = (g[own, at, None] * len(met) + g[own, None, :]).ravel()
+                    if dense:
+                        np.add.at(sums, pair, value)
+                    else:
+                        yield _pairs(met, pair, value)
+        if dense:
+            pair = np.flatnonzero(sums)
+            yield _pairs(met, pair, sums[pair])
+
+
+def _pairs(met: np.ndarray, pair: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+    """Sums by pair; a group paired with itself has no worth and no row."""
+    found, place = np.unique(pair, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, place, value)
+    a, b = found // max(1, len(met)), found % max(1, len(met))
+    return pd.DataFrame({"a": met[a], "b": met[b], "value": sums})[a != b]
 
 
 def _groups(rows: DataFrame, kept: DataFrame, postings: DataFrame) -> DataFrame:
