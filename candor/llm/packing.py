@@ -13,13 +13,18 @@ columns play no part.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,105 +36,170 @@ PIECES_PER_TASK = 40_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
-#: Latin letters, then ASCII marks other than the apostrophe: two pre-tokens whose case does not matter.
-_SIMPLE = re.compile(
-    r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+CACHE_BYTES = 128 << 20
+WORD_BYTES = 200  # a word's place in the cache, beside its letters and ids
+
+#: A line's Latin letters, then ASCII marks other than the apostrophe, then the rest. Letters and marks are
+#: pre-tokens of their own, and their case does not matter.
+_PARTS = re.compile(r"^([A-Za-zÀ-ÖØ-öø-įı-ɏ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)(.*)$", re.MULTILINE)
+#: The steps before the model of the tokenizers whose texts can be encoded word by word.
+_NORMALIZERS = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A mark with an id of its own that no letters give; it parts the words of a line.
+_BAR = "|"
+
+
+def word_by_word(tokenizer) -> bool:
+    """Whether a text's ids are its white-space separated words' ids in a row, whatever the case of the letters."""
+    steps = json.loads(tokenizer.to_str())
+    split = ((steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        (steps.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split.get("pattern") == {"Regex": _SPLIT}
+        and split.get("behavior") == "Removed" and steps.get("truncation") is None and steps.get("padding") is None
+        and len(tokenizer.encode(_BAR, add_special_tokens=False).ids) == 1)
+
+
+def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all slices in a row."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
+class WholeTexts:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, tokenizer, end: int = 0) -> None:
+        self.tokenizer, self.end = tokenizer, end
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with its end token, and where each text ends."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids, lengths = _flat([[*e.ids, self.end] for e in found])
+        return ids, np.cumsum(lengths)
 
 
 class WordTokens(dict):
-    """Token ids of white-space separated words, encoded once each; forgets all words at `limit`.
+    """Token ids of white-space separated words, each encoded when it is first met, within `limit` bytes.
 
-    The tokenizer drops white space before it does anything else that spans characters, so a text's ids are
-    its words' ids in order. A word gets a number when it is first met; `starts` and `lengths` say where in
-    `pool` its ids are. A simple word is looked up by its lower-case letters and by its marks. The empty
-    word, which no text holds, stands for the end token.
+    A text's ids are its words' ids in order (`word_by_word`). A word has a number; `starts` and `lengths` say where
+    in `pool` its ids are. The words met since the last cut are in the dictionary itself, those of the time before in
+    `old`; at a cut, words not met since the one before go. New words of a batch are learned together: most are
+    letters and marks, and only the different lower-case letters, marks and other words are given to the tokenizer,
+    letters many at a time. Arrow splits a batch and numbers its different words, so only these are looked up.
     """
 
-    def __init__(self, path: str, end: int = 0, limit: int = 1_000_000) -> None:
-        from tokenizers import Tokenizer
-
+    def __init__(self, tokenizer, end: int = 0, limit: int = CACHE_BYTES) -> None:
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.limit = end, limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.parts: dict[str, np.ndarray] = {}
+        self.tokenizer, self.end, self.limit = tokenizer, end, limit
+        self.bar = tokenizer.encode(_BAR, add_special_tokens=False).ids[0]
         self.new: list[bytes] = []
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
-        self._add([np.array([self.end], np.uint32)])
-        self[b""] = 0
+        self.old: dict[bytes, int] = {}
+        self.pool = np.zeros(0, np.uint32)
+        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.letters = 0
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.n + len(self.new)
-        self.new.append(word)
+        n = self.old.get(word)
+        if n is None:
+            n = len(self.starts) + len(self.new)
+            self.new.append(word)
+        self[word] = n
         return n
 
-    def _add(self, ids: list[np.ndarray]) -> None:
-        """Number the next `len(ids)` words."""
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + len(ids) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[self.n : self.n + len(ids)] = sizes
-        self.used += len(flat)
-        self.n += len(ids)
+    def held(self) -> int:
+        """Bytes of all words known."""
+        return self.letters + WORD_BYTES * len(self.starts) + 4 * len(self.pool)
+
+    def cut(self) -> None:
+        """Keep the words met since the last cut."""
+        n = np.fromiter(self.values(), np.int64, len(self))
+        self.pool = self.pool[_slices(self.starts[n], self.lengths[n])]
+        self.lengths = self.lengths[n]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.old = dict(zip(self, range(len(self)), strict=True))
+        self.clear()
+        self.letters = sum(map(len, self.old))
+
+    def _of_letters(self, words: list[str], each: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, given to the tokenizer many at a time."""
+        lines = [f" {_BAR} ".join([*words[i : i + each], ""]) for i in range(0, len(words), each)]
+        ids, _ = _flat([e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        bars = np.flatnonzero(ids == self.bar)
+        return ids[ids != self.bar], np.diff(bars, prepend=-1) - 1
 
     def _learn(self) -> None:
         """Encode the words numbered since the last time, as one batch."""
-        plans = []
-        texts: dict[str, None] = {}
-        for word in self.new:
-            s = word.decode()
-            m = _SIMPLE.fullmatch(s)
-            plan = ((m[1].lower(), m[2]) if m[2] else (m[1].lower(),)) if m else (s,)
-            plans.append(plan)
-            texts.update((p, None) for p in plan if p not in self.parts)
-        batch = list(texts)
-        for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, np.uint32)
-        parts = self.parts
-        self._add([parts[p[0]] if len(p) == 1 else np.concatenate([parts[p[0]], parts[p[1]]]) for p in plans])
-        self.new = []
+        new, self.new = self.new, []
+        letters, marks, rest = zip(*_PARTS.findall(b"\n".join(new).decode()), strict=True)
+        letters = "\n".join(letters).lower().split("\n")
+        odd = [i for i, r in enumerate(rest) if r]
+        letters, marks = list(letters), list(marks)
+        for i in odd:  # anything else goes to the tokenizer as it is
+            letters[i], marks[i] = "", new[i].decode()
+        plain = dict.fromkeys(letters)
+        plain.pop("", None)
+        ids, lengths = self._of_letters(list(plain))
+        others = list(dict.fromkeys(marks))
+        more, of_more = _flat([e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
+        place = dict(zip(plain, range(len(plain)), strict=True))
+        place[""] = len(plain)
+        lengths = np.concatenate([lengths, [0], of_more]).astype(np.int64)
+        ids = np.concatenate([ids, more])
+        starts = np.cumsum(lengths) - lengths
+        both = np.empty((len(new), 2), np.int64)
+        both[:, 0] = np.fromiter(map(place.__getitem__, letters), np.int64, len(new))
+        place = dict(zip(others, range(len(plain) + 1, len(lengths)), strict=True))
+        both[:, 1] = np.fromiter(map(place.__getitem__, marks), np.int64, len(new))
+        at = both.ravel()
+        own = lengths[both].sum(1)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(own) - own])
+        self.lengths = np.concatenate([self.lengths, own])
+        self.pool = np.concatenate([self.pool, ids[_slices(starts[at], lengths[at])]])
+        self.letters += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with its end token, and where each text ends."""
-        if len(self) > self.limit:
-            self.forget()
-        words: list[bytes] = []
-        counts = []
-        for t in texts:
-            own = t.encode().split()
-            words += own
-            words.append(b"")
-            counts.append(len(own) + 1)
-        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.held() * len(self) > self.limit // 2 * len(self.starts):
+            self.cut()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = pc.dictionary_encode(split.flatten())
+        words, at = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+        bounds = split.offsets.to_numpy()
+        if b"" in words:  # white space at either end of a text
+            real = at != words.index(b"")
+            bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+            at = at[real]
+        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))[at]
         if self.new:
             self._learn()
         size = self.lengths[n]
-        ends = np.cumsum(size)
-        at = np.repeat(self.starts[n] - (ends - size), size) + np.arange(int(ends[-1]))
-        return self.pool[at], ends[np.cumsum(counts) - 1]
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds[1:]]
+        ids = np.insert(self.pool[_slices(self.starts[n], size)], ends, self.end)
+        return ids, ends + np.arange(1, len(ends) + 1)
 
 
 @lru_cache(maxsize=2)
-def _words(path: str, end: int) -> WordTokens:
-    return WordTokens(path, end)
+def encoder(path: str, end: int = 0) -> WordTokens | WholeTexts:
+    """A task's encoder for the tokenizer in a file: word by word where the tokenizer allows it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already keep the cores busy
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return WordTokens(tokenizer, end) if word_by_word(tokenizer) else WholeTexts(tokenizer, end)
 
 
-def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, batch_chars: int = 1 << 21) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, batch_chars: int = 1 << 22) -> DataFrame:
     """The pieces of every document (`doc_id, text`): at most `length` ids each, full ones first."""
 
     def cut(doc_ids: list, texts: list[str]) -> pd.DataFrame:
-        ids, ends = _words(path, end).encode(texts)
+        ids, ends = encoder(path, end).encode(texts)
         raw = memoryview(ids.astype("<u4")).cast("B")
         begins = np.concatenate([[0], ends[:-1]])
         counts = -(-(ends - begins) // length)

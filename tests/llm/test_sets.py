@@ -156,7 +156,8 @@ def test_word_tokens_are_the_texts_tokens(parts, gap):
     assert MEMO.encode([text, text])[0].tolist() == [*want, 0, *want, 0]
 
 
-FULL, MEMO = Tokenizer.from_file(TOKENS), packing.WordTokens(TOKENS)
+FULL = Tokenizer.from_file(TOKENS)
+MEMO = packing.WordTokens(FULL)
 
 
 @settings(max_examples=200, deadline=None)
@@ -165,6 +166,33 @@ def test_word_tokens_of_any_text(text):
     assert MEMO.encode([text])[0].tolist() == [*FULL.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_word_tokens_within_few_bytes(texts):
+    """A cache far smaller than the vocabulary, cut many times, gives the same ids."""
+    small, batch = packing.WordTokens(FULL, limit=1 << 16), []
+    cuts = 0
+    for text in list(texts.values()):
+        batch.append(text)
+        if len(batch) == 5:
+            known = len(small.old)
+            ids, ends = small.encode(batch)
+            cuts += len(small.old) != known
+            want = [[*e.ids, 0] for e in FULL.encode_batch_fast(batch, add_special_tokens=False)]
+            assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+            batch = []
+    small.cut()
+    small.cut()
+    assert cuts > 5 and small.held() == 0
+
+
+def test_other_tokenizers_get_whole_texts():
+    assert isinstance(packing.encoder(TOKENS), packing.WordTokens)
+    assert isinstance(packing.encoder(str(public_tokenizers.path("byte_bpe_50k.json"))), packing.WholeTexts)
+    whole = packing.WholeTexts(FULL, 7)
+    ids, ends = whole.encode(["One  two", "", " x "])
+    want = [[*FULL.encode(t, add_special_tokens=False).ids, 7] for t in ("One  two", "", " x ")]
+    assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
 @pytest.mark.parametrize("name", ["edge", "docs"])
 def test_packing(name, request, none):
     df = request.getfixturevalue(name)
