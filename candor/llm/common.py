@@ -75,21 +75,9 @@ def running_sum(
     return joined.select(*rows.columns, (F.col("_inside") + F.col("_offset")).alias(out))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word seen so far; forgets everything at `limit` words, so memory is bounded."""
-
-    def __init__(self, limit: int = 1_000_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word. Nothing is kept: a memo of words costs more time than hashing anew, and memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -40,7 +40,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.llm.common import (
-    WordHashes,
     attach,
     columns,
     components,
@@ -50,6 +49,7 @@ from candor.llm.common import (
     parts_for,
     spare,
     unpack,
+    word_hashes,
     written,
 )
 
@@ -60,14 +60,14 @@ SET_ROWS = 1 << 18
 ENTRY = ["class", "size", "shared", "behind"]
 MARK = [f"mark_{i}" for i in range(8)]
 RANGE_TOKENS = 1 << 21
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 NULL_ID = -(2**63)
 
 
-def ngrams(text: str, n: int, memo: WordHashes, fold_case: bool) -> np.ndarray:
+def ngrams(text: str, n: int, fold_case: bool) -> np.ndarray:
     """The set of n-gram hashes of a text, sorted."""
     raw = text.encode()
-    words = memo.of((raw.lower() if fold_case else raw).split())  # bytes.lower changes A-Z alone
+    words = word_hashes((raw.lower() if fold_case else raw).split())  # bytes.lower changes A-Z alone
     if not len(words):
         return np.zeros(0, np.uint64)
     width = min(n, len(words))
@@ -90,9 +90,8 @@ def sketches(docs: DataFrame, n: int, fold_case: bool) -> DataFrame:
     """`doc_id, size, class` of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
         for frame in frames:
-            sets = [ngrams(t, n, memo, fold_case) for t in frame["text"]]
+            sets = [ngrams(t, n, fold_case) for t in frame["text"]]
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].to_numpy(), "size": np.array([len(s) for s in sets], np.int64),
                 "class": np.array([class_of(s) for s in sets], np.int64)})
@@ -108,8 +107,8 @@ def token_blobs(docs: DataFrame, n: int, percent: int, fold_case: bool, ranges:
 
     def chunk_rows(classes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        rng = (tokens % np.uint64(ranges)).astype(np.int64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+        rng = (tokens % np.uint64(ranges)).astype(np.uint32)
         by = np.argsort(rng, kind="stable")
         tokens, owner, rng = tokens[by], owner[by], rng[by]
         low = mixed(tokens).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -122,12 +121,11 @@ def token_blobs(docs: DataFrame, n: int, percent: int, fold_case: bool, ranges:
         return pd.DataFrame({"rng": rng[cuts].astype(np.int32), "blob": pd.Series(blobs, dtype=object)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
         held: dict[int, np.ndarray] = {}
         n_held = 0
         for frame in frames:
             for text in frame["text"]:
-                s = ngrams(text, n, memo, fold_case)
+                s = ngrams(text, n, fold_case)
                 if len(s) == 0 or (len(s) + 1) * percent > len(s) * 100:
                     continue
                 c = class_of(s)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import WordHashes, columns, mixed, narrow, pack, parts_for, unpack
+from candor.llm.common import columns, mixed, narrow, pack, parts_for, unpack, word_hashes
 
 SIZE = 20
 RANGE_WINDOWS = 1 << 21
@@ -55,15 +55,15 @@ def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:
 class Chunk:
     """The windows of some documents of one task: their keys, documents and starts."""
 
-    def __init__(self, size: int, memo: WordHashes) -> None:
-        self.size, self.memo = size, memo
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.ids: list[int] = []
         self.shas: list[int] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
 
     def add(self, doc_id: int, sha: int, text: str) -> None:
-        words = self.memo.of(text.encode().split())
+        words = word_hashes(text.encode().split())
         if len(words) >= self.size:
             self.ids.append(doc_id)
             self.shas.append(sha)
@@ -196,8 +196,7 @@ def marks(docs: DataFrame, size: int, ranges: int) -> DataFrame:
     """`doc_id, sha, starts`: packed starts of the windows to remove, one row per document that has any."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        chunk = Chunk(size, memo)
+        chunk = Chunk(size)
 
         def out() -> Iterator[pd.DataFrame]:
             for rng, entries, own in chunk.rows(ranges):
@@ -208,7 +207,7 @@ def marks(docs: DataFrame, size: int, ranges: int) -> DataFrame:
                 chunk.add(doc_id, sha, text)
                 if chunk.n >= CHUNK_WORDS:
                     yield from out()
-                    chunk = Chunk(size, memo)
+                    chunk = Chunk(size)
         yield from out()
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:

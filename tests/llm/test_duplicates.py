@@ -109,7 +109,7 @@ def test_repeated_passages(edge, docs, none, llm, monkeypatch):
 
 
 def chunk_of(table, size=20):
-    chunk = substrings.Chunk(size, substrings.WordHashes())
+    chunk = substrings.Chunk(size)
     for doc_id, sha, text in table:
         chunk.add(doc_id, sha, text)
     return chunk
