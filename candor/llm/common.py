@@ -8,7 +8,8 @@ never recomputes past them; they are plain Parquet and may be deleted once the r
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 import numpy as np
 import xxhash
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from candor.session import ensure_checkpoint_dir
 
+T = TypeVar("T")
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -75,6 +77,26 @@ def running_sum(
     return joined.select(*rows.columns, (F.col("_inside") + F.col("_offset")).alias(out))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: str, make: Callable[..., T], *args) -> T:
+    """`make(*args)`, kept in this worker process for the next tasks of `owner`; what others kept goes.
+
+    Worker processes outlive a stage, so what one operator keeps would stand in the way of the next one.
+    """
+    release(owner)
+    if (owner, *args) not in _KEPT:
+        _KEPT[owner, *args] = make(*args)
+    return _KEPT[owner, *args]
+
+
+def release(but: str = "") -> None:
+    """Drop what operators other than `but` keep in this worker process."""
+    for key in [k for k in _KEPT if k[0] != but]:
+        del _KEPT[key]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word. Nothing is kept: a memo of words costs more time than hashing anew, and memory."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

@@ -47,6 +47,7 @@ from candor.llm.common import (
     narrow,
     pack,
     parts_for,
+    release,
     spare,
     unpack,
     word_hashes,
@@ -60,7 +61,7 @@ SET_ROWS = 1 << 18
 ENTRY = ["class", "size", "shared", "behind"]
 MARK = [f"mark_{i}" for i in range(8)]
 RANGE_TOKENS = 1 << 21
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 NULL_ID = -(2**63)
 
 
@@ -90,6 +91,7 @@ def sketches(docs: DataFrame, n: int, fold_case: bool) -> DataFrame:
     """`doc_id, size, class` of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in frames:
             sets = [ngrams(t, n, fold_case) for t in frame["text"]]
             yield pd.DataFrame({
@@ -121,6 +123,7 @@ def token_blobs(docs: DataFrame, n: int, percent: int, fold_case: bool, ranges:
         return pd.DataFrame({"rng": rng[cuts].astype(np.int32), "blob": pd.Series(blobs, dtype=object)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         held: dict[int, np.ndarray] = {}
         n_held = 0
         for frame in frames:

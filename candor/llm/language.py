@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.common import columns
+from candor.llm.common import columns, release
 
 TRAIN_SYMBOLS = 160_000
 TRAIN_TEXTS = 200
@@ -217,6 +217,7 @@ def predict(text: Column, model_ref, batch_chars: int = 1 << 22) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         model = model_ref.value
         for s in series:
             langs: list[str] = []

@@ -18,7 +18,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import columns, parts_for
+from candor.llm.common import columns, kept, parts_for
 
 LENGTH = 2048
 OPEN_BINS = 512
@@ -36,7 +35,7 @@ PIECES_PER_TASK = 40_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 96 << 20
 WORD_BYTES = 200  # a word's place in the cache, beside its letters and ids
 
 #: A line's Latin letters, then ASCII marks other than the apostrophe, then the rest. Letters and marks are
@@ -185,7 +184,6 @@ class WordTokens(dict):
         return ids, ends + np.arange(1, len(ends) + 1)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end: int = 0) -> WordTokens | WholeTexts:
     """A task's encoder for the tokenizer in a file: word by word where the tokenizer allows it."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already keep the cores busy
@@ -199,7 +197,7 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, bat
     """The pieces of every document (`doc_id, text`): at most `length` ids each, full ones first."""
 
     def cut(doc_ids: list, texts: list[str]) -> pd.DataFrame:
-        ids, ends = encoder(path, end).encode(texts)
+        ids, ends = kept("packing", encoder, path, end).encode(texts)
         raw = memoryview(ids.astype("<u4")).cast("B")
         begins = np.concatenate([[0], ends[:-1]])
         counts = -(-(ends - begins) // length)
