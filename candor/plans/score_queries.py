@@ -44,7 +44,11 @@ _SH = [f"(stars_{s}::DOUBLE / nullif(n_with_rating, 0))" for s in range(1, 6)]
 SIGNALS_SQL = f"""prep AS (SELECT * EXCLUDE (text), nullif(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS text
   FROM live),
 rows AS (SELECT *, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS words,
-  CASE WHEN text IS NOT NULL THEN count(*) OVER (PARTITION BY {G}, lower(text)) END AS copies FROM prep),
+  CASE WHEN text IS NOT NULL THEN count(*) OVER (PARTITION BY {G}, lower(text)) END AS copies,
+  text LIKE 'note on %' AND count(*) OVER (PARTITION BY {G}, text) < count(*) OVER (PARTITION BY {G}, text LIKE 'note on %') AS near
+ FROM prep),
+near AS (SELECT {G}, ((sum(n) ** 2 - sum(n ** 2)) / 2)::BIGINT AS near_duplicate_pairs  -- different texts of the planted notes
+ FROM (SELECT {G}, text, count(*) FILTER (WHERE text LIKE 'note on %') AS n FROM rows GROUP BY ALL) GROUP BY ALL),
 base AS (SELECT {G}, count(*) AS n_reviews, count(rating) AS n_with_rating, count(text) AS n_with_text,
   count(helpful_votes) AS n_with_helpful_votes, count(verified_purchase) AS n_with_verified_purchase,
   count(review_date) AS n_with_review_date, count(reviewer_id) AS n_with_reviewer_id, count(title) AS n_with_title,
@@ -66,8 +70,9 @@ signals AS (SELECT b.*, max_one AS max_reviews_one_reviewer, {_SH[4]} AS five_st
   nullif(ur, 0) AS unique_reviewers, nullif(ur, 0)::DOUBLE / n_reviews AS reviewer_diversity,
   n_reviews::DOUBLE / nullif(ur, 0) AS reviews_per_reviewer,
   CASE WHEN n_with_review_date >= 2 THEN days WHEN n_with_review_date = 1 THEN 0 END AS review_span_days,
-  CASE WHEN n_with_review_date >= 1 THEN n_reviews / (days + 1) END AS reviews_per_active_day
- FROM base b LEFT JOIN people USING ({G}))"""
+  CASE WHEN n_with_review_date >= 1 THEN n_reviews / (days + 1) END AS reviews_per_active_day,
+  near_duplicate_pairs
+ FROM base b LEFT JOIN people USING ({G}) LEFT JOIN near USING ({G}))"""
 
 _SIG_DOUBLE = [
     "avg_rating", "rating_std", "five_star_ratio", "one_star_ratio", "extreme_rating_ratio", "rating_entropy",
@@ -221,7 +226,7 @@ def _(spark, d):
 # ---- Review risk --------------------------------------------------------------------------------
 
 _SIGNS = {
-    "exact": "copies > 1", "near": "FALSE", "short": "chars < 20",
+    "exact": "copies > 1", "near": "coalesce(near, FALSE)", "short": "chars < 20",
     "rating": "n_with_rating >= 5 AND abs(rating - avg_rating) >= 2.5",
     "helpful": "n_with_helpful_votes >= 5 AND n_with_helpful_votes * hq > hs * hs AND n_with_helpful_votes * helpful_votes > hs"
                " AND (n_with_helpful_votes * helpful_votes - hs) * (n_with_helpful_votes * helpful_votes - hs)"
@@ -471,6 +476,7 @@ _TERMS = {
     "sample": ("TRUE", "least(15, 8 * log10((n_reviews + 1)::DOUBLE))"),
     "diversity": ("reviewer_diversity IS NOT NULL", "12 * (reviewer_diversity - 0.5::DOUBLE)"),
     "duplicates": ("duplicate_text_ratio IS NOT NULL", "-20 * duplicate_text_ratio"),
+    "near": ("n_with_text > 0 AND near_duplicate_pairs > 0", "-least(10, 2 * near_duplicate_pairs)"),
     "five_star": ("n_with_rating >= 8 AND five_star_ratio >= 0.85::DOUBLE", "-12 * least(1, (five_star_ratio - 0.85::DOUBLE) / 0.15::DOUBLE)"),
     "entropy": (f"n_with_rating >= 8 AND rating_entropy / {_LN5}::DOUBLE < 0.35::DOUBLE", "-8"),
     "short": ("n_reviews >= 5 AND avg_review_length_chars < 25", "-6"),
@@ -485,6 +491,10 @@ added AS (SELECT *, round_even(least(100, greatest(0, 50 + {" + ".join(f"CASE WH
  FROM signals JOIN bands USING ({G}))"""
 
 
+_METRICS = (
+    "avg_rating", "rating_std", "five_star_ratio", "duplicate_text_ratio", "reviewer_diversity", "avg_review_length_chars", "rating_entropy")
+
+
 def _additive(rows):
     tables = scoring.score_reviews(rows)
     return additive.additive_score(tables["signals"], products.review_flags(rows, products.product_signals(rows)))
@@ -493,15 +503,15 @@ def _additive(rows):
 @register(
     "additive_score",
     f"""WITH {LIVE_SQL}, {SIGNALS_SQL}, {FLAGS_SQL}, {ADDITIVE_SQL} SELECT {G}, {big('score', 'score_additive')}, review_risk_band,
- {r6('round(avg_rating, 4)', 'metric_avg_rating')}, {r6('round(rating_entropy, 4)', 'metric_rating_entropy')},
- 0::BIGINT AS metric_near_duplicate_pairs FROM added""",
+ {big('n_reviews', 'metric_n_reviews')}, near_duplicate_pairs AS metric_near_duplicate_pairs,
+ {", ".join(r6(f'round({c}, 4)', f'metric_{c}') for c in _METRICS)} FROM added""",
 )
 def _(spark, d):
     a = _additive(_line(spark, d))
     m = F.col("metrics")
     return a.select(
         "platform", "product_id", "score_additive", "review_risk_band",
-        *[m.getField(c).alias(f"metric_{c}") for c in ("avg_rating", "rating_entropy", "near_duplicate_pairs")])
+        *[m.getField(c).alias(f"metric_{c}") for c in ("n_reviews", "near_duplicate_pairs", *_METRICS)])
 
 
 _FACTORS = {
@@ -511,7 +521,8 @@ _FACTORS = {
     "no_diversity": ("reviewer_diversity", "NULL", "'neutral'", "reviewer_diversity IS NULL"),
     "duplicates": ("duplicate_text_ratio", "round(duplicate_text_ratio, 4)", "CASE WHEN duplicate_text_ratio > 0 THEN 'negative' ELSE 'positive' END",
                    "duplicate_text_ratio IS NOT NULL"),
-    "no_near": ("near_duplicate_pairs", "0", "'positive'", "n_with_text > 0"),
+    "near": ("near_duplicate_pairs", "near_duplicate_pairs", "'negative'", _TERMS["near"][0]),
+    "no_near": ("near_duplicate_pairs", "0", "'positive'", "n_with_text > 0 AND near_duplicate_pairs = 0"),
     "five_star": ("five_star_ratio", "round(five_star_ratio, 4)", "'negative'", "n_with_rating >= 8 AND five_star_ratio >= 0.85::DOUBLE"),
     "no_five_star": ("five_star_ratio", "round(five_star_ratio, 4)", "'positive'", "n_with_rating >= 8 AND five_star_ratio < 0.85::DOUBLE"),
     "entropy": ("rating_entropy", "round(rating_entropy, 4)", "'negative'", _TERMS["entropy"][0]),
@@ -524,14 +535,33 @@ _FACTORS = {
 }
 
 
+_two = lambda c: f"round_even({c}, 2)"
+_ARGS = {
+    "sample": ["n_reviews"], "diversity": [_two("reviewer_diversity")], "duplicates": [_two("duplicate_text_ratio")],
+    "near": ["near_duplicate_pairs"], "five_star": ["round_even(five_star_ratio * 100, 0)"],
+    "no_five_star": ["round_even(five_star_ratio * 100, 0)"],
+    "entropy": [_two("rating_entropy"), _two(f"rating_entropy / {_LN5}::DOUBLE")],
+    "no_entropy": [_two("rating_entropy"), _two(f"rating_entropy / {_LN5}::DOUBLE")],
+    "short": ["round_even(avg_review_length_chars, 0)"], "long": ["round_even(avg_review_length_chars, 0)"],
+    "burst": ["n_reviews", "round_even(review_span_days, 1)", "round_even(reviews_per_active_day, 1)"],
+    "one_reviewer": ["max_reviews_one_reviewer", "n_reviews"],
+}
+
+
+def _detail(name):
+    """The factor's sentence with its numbers, as SQL."""
+    text = FACTOR_TEXTS[name][1]
+    return f"printf({_q(text)}, {', '.join(_ARGS[name])})" if name in _ARGS else _q(text)
+
+
 @register(
     "additive_factors",
     f"WITH {LIVE_SQL}, {SIGNALS_SQL}, {FLAGS_SQL}, {ADDITIVE_SQL} " + " UNION ALL ".join(
-        f"SELECT {G}, {dr} AS direction, {_q(FACTOR_TEXTS[k][0])} AS label, '{f}' AS feature, {r6(v, 'value')} FROM added WHERE {w}"
+        f"SELECT {G}, {dr} AS direction, {_q(FACTOR_TEXTS[k][0])} AS label, {_detail(k)} AS detail, '{f}' AS feature, {r6(v, 'value')} FROM added WHERE {w}"
         for k, (f, v, dr, w) in _FACTORS.items()),
 )
 def _(spark, d):
-    return _additive(_line(spark, d)).select("platform", "product_id", F.inline("factors")).drop("detail")
+    return _additive(_line(spark, d)).select("platform", "product_id", F.inline("factors"))
 
 
 @register("additive_score_documents")
@@ -542,6 +572,21 @@ def _(spark, d):
 # ---- Near copies --------------------------------------------------------------------------------
 
 
+_PLANTED = f"WITH {LIVE_SQL}, {SIGNALS_SQL}"
+
+
+@register("near_duplicate_pairs_live", f"{_PLANTED} SELECT {G}, near_duplicate_pairs FROM signals")
+def _(spark, d):
+    rows = _line(spark, d)
+    return near_copies.near_pairs(rows, near_copies.near_texts(rows))
+
+
+@register("near_duplicate_reviews_live", f"{_PLANTED} SELECT {G}, review_id FROM rows WHERE near")
+def _(spark, d):
+    rows = _line(spark, d)
+    return near_copies.with_near_flag(rows, near_copies.near_texts(rows)).filter("near").select("platform", "product_id", "review_id")
+
+
 @register("near_duplicate_pairs")
 def _(spark, d):
     rows = _docs(spark, d)

@@ -28,8 +28,18 @@ def _variant() -> Column:
     return (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % 12
 
 
+def _planted() -> dict[int, Column]:
+    """Long texts per product: notes that differ in one character (or its case), remarks just too far apart."""
+    name, k = F.col("p_name"), F.col("l_orderkey")
+    note = F.concat(F.lit("note on "), name, F.lit(": came well packed, simple to set up, still running after a month of use, grade "))
+    remark = F.concat(F.lit("remark on "), name, F.lit(" from a long time owner of several such things, "))
+    tail = F.repeat(F.element_at(F.array(F.lit("q"), F.lit("z"), F.lit("x")), (k % 3 + 1).cast("int")), F.ceil(F.length(remark) / 11).cast("int"))
+    grade = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("A"), F.lit("c")), (k % 4 + 1).cast("int"))
+    return {2: F.concat(note, grade), 3: F.concat(remark, tail)}
+
+
 def _text(long: bool) -> Column:
-    """Review texts. `long=False` keeps to a few phrases per product, none of them near copies."""
+    """Review texts. `long=False` keeps to a few phrases per product; only planted notes are near copies."""
     name, prio, v = F.col("p_name"), F.col("o_orderpriority"), _variant()
     texts = {
         1: F.lit("ok"),
@@ -45,7 +55,7 @@ def _text(long: bool) -> Column:
         if long else F.lit("Nice!"),
     }
     out = F.when(v == 0, F.lit(None).cast("string"))
-    for k, t in texts.items():
+    for k, t in (texts if long else texts | _planted()).items():
         out = out.when(v == k, t)
     return out
 
@@ -161,7 +171,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical live reviews made from line items: few texts per product, no near copies."""
+    """Canonical live reviews made from line items: few texts per product, near copies planted by construction."""
     j = _lines(spark, sf_dir)
     sk, pk = F.col("l_suppkey"), F.col("l_partkey")
     return j.select(
@@ -208,12 +218,17 @@ _TEXT_SQL = """CASE (l_partkey + l_suppkey + l_linenumber) % 12
  WHEN 8 THEN p_name || ' was a waste, want a refund ' || o_orderpriority
  WHEN 9 THEN p_name || ' ' || o_orderpriority || ' average thing for everyday use'
  WHEN 10 THEN {ten}
- WHEN 11 THEN {eleven} END"""
+ WHEN 11 THEN {eleven}{planted} END"""
 _LONG_SQL = _TEXT_SQL.format(
     ten="'item ' || l_orderkey || ' fits my ' || p_name || ' with no trouble so far'",
-    eleven="'Bought for my ' || p_name || '.  Nice and easy to use ' || l_suppkey",
+    eleven="'Bought for my ' || p_name || '.  Nice and easy to use ' || l_suppkey", planted="",
 )
-_SHORT_SQL = _TEXT_SQL.format(ten="'nothing to say about it'", eleven="'Nice!'")
+_REMARK_SQL = "'remark on ' || p_name || ' from a long time owner of several such things, '"
+_PLANTED_SQL = f"""
+ WHEN 2 THEN 'note on ' || p_name || ': came well packed, simple to set up, still running after a month of use, grade '
+   || ['a', 'b', 'A', 'c'][l_orderkey % 4 + 1]
+ WHEN 3 THEN {_REMARK_SQL} || repeat(['q', 'z', 'x'][l_orderkey % 3 + 1], ceil(length({_REMARK_SQL}) / 11.0)::INT)"""
+_SHORT_SQL = _TEXT_SQL.format(ten="'nothing to say about it'", eleven="'Nice!'", planted=_PLANTED_SQL)
 _RATING_SQL = """CASE WHEN l_quantity > 49 THEN NULL WHEN l_quantity <= 30 THEN 5.0::DOUBLE
  WHEN l_quantity <= 40 THEN 4.0::DOUBLE WHEN l_quantity <= 44 THEN 3.0::DOUBLE
  WHEN l_quantity <= 47 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"""
