@@ -16,8 +16,9 @@ from candor.fixed_values import (
     VERY_LONG_TEXT,
     VERY_SHORT_BATCH,
 )
-from candor.functions.columns import divide, extract, is_missing, strip, text_key, to_number
+from candor.functions.columns import divide, extract, is_missing, one_row, strip, text_key, to_number
 from candor.operators.dedup import first_rows
+from candor.sources import quoted_csv
 
 SOURCE = "source_file"
 DATE_FORMATS = ["M d, yyyy", "yyyy-MM-dd", "M/d/yyyy"]
@@ -190,11 +191,16 @@ def duplicate_hits(raw: DataFrame, key_sets: dict[str, list[str]] | None = None)
     )
 
 
-def line_delta(spark: SparkSession, path: str, n_rows: int) -> DataFrame:
-    """Physical lines minus the header minus parsed records."""
-    return spark.read.text(path).agg(
-        (F.count(F.lit(1)) - 1).alias("data_lines"), (F.count(F.lit(1)) - 1 - F.lit(n_rows)).alias("delta")
-    )
+def line_delta(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Physical lines that are no header, and how many more they are than the records that parse."""
+    lines = quoted_csv.line_counts(spark, path).agg(F.sum("n_lines").alias("n_lines"))
+    parsed = quoted_csv.read(spark, path, columns, "_bad")
+    headers = F.count_if(F.col("header"))
+    rows = quoted_csv.records(spark, path).select(quoted_csv.is_header(columns).alias("header")).agg(headers.alias("n_headers"))
+    good = parsed.agg(F.count_if(F.col("_bad").isNull()).alias("n_good"))
+    both = lines.select("n_lines", one_row(rows).getField("n_headers").alias("n_headers"), one_row(good).getField("n_good").alias("n_good"))
+    data = F.col("n_lines") - F.col("n_headers")
+    return both.select(data.alias("data_lines"), (data - F.col("n_good")).alias("delta"))
 
 
 def _value_pairs(raw: DataFrame, a: str, b: str) -> DataFrame:

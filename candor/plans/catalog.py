@@ -55,6 +55,7 @@ def load() -> None:
     from candor.plans import (  # noqa: F401
         audit_queries,
         batch_queries,
+        csv_queries,
         eda_queries,
         ingest_queries,
         score_queries,
