@@ -400,6 +400,8 @@ MARKET_DEAL_WORDS = ["% off", "₹", "rs.", "hot deal", "free delivery", "in sto
 JUNK_SNIPPETS = [
     "no information is available", "page not found", "something went wrong", "access denied",
 ]
+MARKET_HOST = "flipkart.com"
+MARKET_PRODUCT_PARTS = ["/p/", "/product-reviews/"]
 MARKET_NON_PRODUCT = ["/rv/", "sizechart", "/search", "/login", "/account", "/help/"]
 PRODUCT_LINK_PARTS = ["/p/", "/buy", "/product/", "/dp/"]
 AFFILIATE_IMAGE_SIZES = ["400x400", "200x200", "800x800", "unknown"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.fixed_values import HIGH_CORRELATION, PROFILE_PROBABILITIES
-from candor.functions.columns import divide, one_row
+from candor.functions.columns import compact, divide, one_row
 from candor.functions.ranks import exact_quantiles, running_totals, value_histogram
 
 
@@ -212,31 +213,44 @@ def high_pairs(correlations: DataFrame, limit: float = HIGH_CORRELATION) -> Data
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, n, rho): Pearson of the average ranks of all rows where both columns are present.
 
-    Rows fold to one per pair and values; ranks come from running totals over the distinct values of each
-    pair, so no task holds a whole column. Values are compared to 9 decimals, so that the order in which
-    floats were summed does not split ties.
+    Which rows a pair uses depends only on its columns that have NULLs, so a column is ranked once for every such
+    set of rows: once in all if nothing is NULL. Ranks come from running totals over the distinct values, so no
+    task holds a whole column, and go back to their rows as one array, from which all pairs are summed in the map
+    tasks; no row is multiplied by pairs. Values are compared to 9 decimals, so that the order in which floats were
+    summed does not split ties.
     """
     rows = df.select(*[(F.round(F.col(c).cast("double"), 9) + 0.0).alias(c) for c in columns])
-    pairs = [
-        F.struct(F.lit(f"{i},{j}").alias("pair"), F.col(columns[i]).alias("x"), F.col(columns[j]).alias("y"))
-        for i in range(len(columns)) for j in range(i + 1, len(columns))
+    present = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in columns]).first()
+    nullable = {c for c in columns if present[c] < present["n"]}
+    sets: dict[frozenset[str], list[tuple[str, str]]] = {}
+    for i, a in enumerate(columns):
+        for b in columns[i + 1:]:
+            sets.setdefault(frozenset(nullable & {a, b}), []).append((a, b))
+    used = {s: [c for c in columns if any(c in pair for pair in pairs)] for s, pairs in sets.items()}
+    cells = [
+        F.when(
+            F.lit(True) if not s else reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in sorted(s)]),
+            F.struct(F.lit(k).alias("rows"), F.array(*[
+                F.struct(F.lit(f"{k},{j}").alias("cell"), F.lit(j).alias("j"), F.col(c).alias("x")) for j, c in enumerate(used[s])]).alias("cells")))
+        for k, s in enumerate(used)
     ]
-    long = rows.select(F.inline(F.array(*pairs))).filter("x IS NOT NULL AND y IS NOT NULL")
-    folded = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("m"))
-
-    def ranks(value: str) -> DataFrame:
-        hist = folded.groupBy("pair", value).agg(F.sum("m").alias("n"))
-        rank = F.col("n_before") + (F.col("n") + 1) / 2.0
-        return running_totals(hist, "pair", value, ["n"]).select("pair", value, rank.alias(f"r{value}"))
-
-    ranked = folded.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
-    m, x, y = F.col("m"), F.col("rx"), F.col("ry")
-    name = F.array(*[F.lit(c) for c in columns])
-    at = lambda i: F.element_at(name, F.split_part("pair", F.lit(","), F.lit(i)).cast("int") + 1)
-    sums = ranked.groupBy("pair").agg(
-        F.sum(m).cast("double").alias("n"), F.sum(m * x).alias("sa"), F.sum(m * y).alias("sb"),
-        F.sum(m * x * x).alias("saa"), F.sum(m * y * y).alias("sbb"), F.sum(m * x * y).alias("sab"),
-    ).withColumns({"a": at(1), "b": at(2)})
+    held = rows.withColumn("id", F.monotonically_increasing_id()).select("id", F.inline(compact(cells)))
+    long = held.select("id", "rows", F.inline("cells"))
+    hist = long.groupBy("cell", "x").agg(F.count(F.lit(1)).alias("m"))
+    ranks = running_totals(hist, "cell", "x", ["m"]).select("cell", "x", (F.col("m_before") + (F.col("m") + 1) / 2.0).alias("rank"))
+    ranked = long.join(ranks, ["cell", "x"]).groupBy("id", "rows").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "rank"))), lambda c: c["rank"]).alias("r"))
+    at = lambda j: F.get("r", F.lit(j))
+    out = []
+    for k, (s, pairs) in enumerate(sets.items()):
+        place = {c: j for j, c in enumerate(used[s])}
+        own = lambda v, k=k: F.when(F.col("rows") == k, v)
+        for a, b in pairs:
+            x, y = at(place[a]), at(place[b])
+            out.append(F.struct(
+                F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(own(F.lit(1))).cast("double").alias("n"),
+                *[F.sum(own(v)).alias(name) for name, v in (("sa", x), ("sb", y), ("saa", x * x), ("sbb", y * y), ("sab", x * y))]))
+    sums = ranked.agg(F.array(*out).alias("pairs")).select(F.inline("pairs")).where("n > 0")
     return sums.select(
         "a", "b", F.col("n").cast("bigint").alias("n"),
         _correlation(F.col("n"), F.col("sa"), F.col("sb"), F.col("saa"), F.col("sbb"), F.col("sab")).alias("r"),

@@ -387,19 +387,43 @@ def _(spark, d):
 _MARKED = " OR ".join(f"contains(lower({_TRIMMED}), '{m}')" for m in payloads.MARKET_DEAL_WORDS + payloads.JUNK_SNIPPETS)
 
 
+#: Links of results, by kind: the pid, slug with item id, pid shown elsewhere; then another product, host, half an identity, junk.
+_MARKET_LINKS = [
+    "https://www.flipkart.com/other-name/p/itm0?pid=PID{n}X", "https://www.flipkart.com/soft-lamp-{n}-x/product-reviews/itm{n}abcd",
+    "https://example.com/r", "https://www.flipkart.com/soft-lamp-{m}-x/p/itm{m}abcd?pid=PID{m}X", "https://www.amazon.in/soft-lamp-{n}-x/p/itm{n}abcd?pid=PID{n}X",
+    "https://www.flipkart.com/soft-lamp-{n}-x/p/itm{m}abcd", "https://www.flipkart.com/rv/sizechart/p/x?pid=PID{n}X", "https://www.flipkart.com/x/y?pid=PID{n}X",
+]
+_SHOWN = "www.flipkart.com/p/x?pid=pid{n}x"  # the displayed link of the third kind
+
+
+def _market_results(spark, d):
+    """A requested product page per document, and one saved result that may or may not name the product."""
+    doc = table(spark, d, "documents").withColumn("n", (F.col("doc_id") + 100000).cast("string")).withColumn(
+        "m", (F.col("doc_id") + 100001).cast("string"))
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{n}"), F.col("n")), F.lit("{m}"), F.col("m"))
+    kind = (F.col("doc_id") % len(_MARKET_LINKS)).cast("int")
+    link = F.element_at(F.array(*[fill(t) for t in _MARKET_LINKS]), kind + 1)
+    page = F.concat(F.lit("https://www.flipkart.com/soft-lamp-"), "n", F.lit("-x/p/itm"), "n", F.lit("abcd?pid=PID"), "n", F.lit("X"))
+    requests = doc.select("doc_id", urls.market_ids(page).alias("ids"))
+    row = F.try_parse_json(F.to_json(F.struct(
+        link.alias("link"), F.when(kind == 2, fill(_SHOWN)).alias("displayed_link"), F.col("text").alias("snippet"))))
+    return doc.select("doc_id", row.alias("row")), requests
+
+
+@register("market_search_matches", f"SELECT doc_id FROM documents WHERE doc_id % {len(_MARKET_LINKS)} IN (0, 1, 2, 6, 7)")
+def _(spark, d):
+    return payloads.requested_results(*_market_results(spark, d), ["doc_id"]).select("doc_id")
+
+
 @register(
     "market_search_reviews",
-    f"""SELECT doc_id, {_TRIMMED} AS text FROM documents WHERE doc_id % 3 <> 0 AND length({_TRIMMED}) >= 40 AND NOT ({_MARKED})
- AND NOT starts_with({_TRIMMED}, 'http')""",
+    f"""SELECT doc_id, {_TRIMMED} AS text FROM documents WHERE (doc_id % {len(_MARKET_LINKS)} IN (0, 1, 2)
+  OR doc_id % {len(_MARKET_LINKS)} = 7 AND contains(lower(text), 'certified buyer'))
+ AND length({_TRIMMED}) >= 40 AND NOT ({_MARKED}) AND NOT starts_with({_TRIMMED}, 'http')""",
 )
 def _(spark, d):
-    doc = table(spark, d, "documents")
-    k = F.col("doc_id") % 3
-    link = F.when(k == 0, "https://www.flipkart.com/rv/sizechart/p/").when(k == 1, "https://www.flipkart.com/x/p/itm").otherwise(
-        "https://www.flipkart.com/x/product-reviews/itm")
-    row = F.try_parse_json(F.to_json(F.struct(link.alias("link"), F.col("text").alias("snippet"))))
-    r = doc.select("doc_id", payloads.market_snippet_review(row).alias("text"))
-    return r.filter("text IS NOT NULL")
+    met = payloads.requested_results(*_market_results(spark, d), ["doc_id"])
+    return met.select("doc_id", payloads.market_snippet_review(F.col("row"), F.col("ids")).alias("text")).filter("text IS NOT NULL")
 
 
 @register(

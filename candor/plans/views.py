@@ -16,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a hash of `key`: the tables come as one row group each, and the views compute much per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the order's customer and the part's name and type: one row per review."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
@@ -191,7 +196,7 @@ def live_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical live reviews made from documents: long texts with exact and near copies."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         F.lit("store").alias("platform"),
         F.col("source").alias("product_id"),

@@ -115,3 +115,26 @@ def test_statuses_and_identity(spark):
 def test_secrets_are_removed(spark):
     m = F.create_map(F.lit("token"), F.lit("x"), F.lit("note"), F.lit("see serpapi docs"), F.lit("ok"), F.lit("fine"))
     assert _value(spark, payloads.redact_map(m)) == {"note": "[redacted]", "ok": "fine"}
+
+
+def test_results_of_the_requested_marketplace_product(spark):
+    ids = F.struct(F.lit("MOBXYZ123").alias("pid"), F.lit("itmabc99").alias("item_id"), F.lit("acme-phone").alias("slug"))
+    said = "I bought this two months ago and the battery still lasts two days."
+    cases = [
+        ("https://www.flipkart.com/other/p/itm1?pid=MOBXYZ123", None, said, True),
+        ("https://www.flipkart.com/acme-phone/product-reviews/itmabc99", None, said, True),
+        ("https://example.com", "www.flipkart.com/p/?pid=mobxyz123", said, True),
+        ("https://www.flipkart.com/acme-phone/p/itmzzz", None, said, False),
+        ("https://www.flipkart.com/x/p/itmabc99", None, said, False),
+        ("https://www.amazon.in/acme-phone/p/itmabc99?pid=MOBXYZ123", None, said, False),
+        ("https://www.flipkart.com/search?pid=MOBXYZ123&x=/p/", None, said, False),
+        ("https://www.flipkart.com/x?pid=MOBXYZ123", None, said, False),
+        ("https://www.flipkart.com/x?pid=MOBXYZ123", None, said + " Certified Buyer", True),
+        (None, None, said, False), ("https://www.flipkart.com/other/p/itm1?pid=MOBXYZ123", None, "short", False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, link string, displayed_link string, snippet string, ok boolean")
+    row = F.try_parse_json(F.to_json(F.struct("link", "displayed_link", "snippet")))
+    got = df.select("i", "ok", payloads.market_snippet_review(row, ids).isNotNull().alias("got")).collect()
+    assert [r["i"] for r in got if r["ok"] != r["got"]] == []
+    none = F.struct(F.lit(None).cast("string").alias("pid"), F.lit("").alias("item_id"), F.lit("").alias("slug"))
+    assert df.where(payloads.market_snippet_review(row, none).isNotNull()).count() == 0

@@ -2,7 +2,10 @@
 
 import json
 import sys
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from candor.functions.skew import attach_by_key
@@ -94,3 +97,19 @@ def test_spearman_ranks_all_rows(spark):
     got = {(r["a"], r["b"]): (r["n"], r["r"]) for r in eda.spearman(df, ["x", "y", "one"]).collect()}
     own = pdf[["x", "y"]].dropna().rank().corr().iloc[0, 1]
     assert got["x", "y"][0] == 2700 and abs(got["x", "y"][1] - own) < 1e-9 and got["x", "one"][1] is None
+
+
+def test_spearman_ranks_by_null_mask(spark):
+    rng = np.random.default_rng(5)
+    table = [tuple(None if rng.random() < p else float(rng.integers(0, 9)) for p in (0, 0, 0.3, 0.5, 1)) for _ in range(200)]
+    df = spark.createDataFrame(table, "a double, b double, c double, d double, e double")
+    got = {(r["a"], r["b"]): (r["n"], r["r"]) for r in eda.spearman(df, list("abcde")).collect()}
+    frame = pd.DataFrame(table, columns=list("abcde"), dtype="float64")
+    want = {}
+    for a, b in combinations("abcd", 2):
+        both = frame[[a, b]].dropna().rank()
+        want[a, b] = (len(both), both[a].corr(both[b]))
+    assert set(got) == set(want)
+    assert all(got[k][0] == n and abs(got[k][1] - r) < 1e-9 for k, (n, r) in want.items())
+    plan = eda.spearman(df.select("a", "b"), ["a", "b"])._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "Cartesian" not in plan
