@@ -90,7 +90,11 @@ def train(scanned: DataFrame, docs: DataFrame, train_rows: int = TRAIN_ROWS, id_
     values = scanned.where(F.col("value").isNotNull() & (F.col("kind") < 3) & _passes(F.col("kind"), F.col("value")))
     value = F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
     good = values.select(value.alias("value")).orderBy(F.xxhash64("value"), "value").limit(train_rows)
-    some = columns(docs, doc_id=id_col, text=text_col).where("text is not null").orderBy(F.xxhash64("doc_id"), "text").limit(train_rows)
+    own = columns(docs, doc_id=id_col, text=text_col).where("text is not null").withColumns(
+        {"by_id": F.xxhash64("doc_id"), "by_text": F.xxhash64("text")})
+    # Only hashes meet in one task; they are at most `train_rows`, and the texts stay where they are.
+    chosen = own.select("by_id", "by_text").orderBy("by_id", "by_text").limit(train_rows).distinct()
+    some = own.join(F.broadcast(chosen), ["by_id", "by_text"], "left_semi")
     text = F.col("text")
     for p in SCANS.values():
         text = F.regexp_replace(text, F.lit(p), F.lit(" "))

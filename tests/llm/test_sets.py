@@ -241,9 +241,22 @@ def test_pipeline(llm, tmp_path):
         map(tuple, df.drop("sequence_id", "offset").collect()))
 
 
-def test_pipeline_on_odd_and_no_rows(llm, none):
-    odd = llm.createDataFrame([r for r in edge_rows()], none.schema)
-    for df in (odd, none):
-        for name, stage in corpus_pipeline.STAGES:
-            df = common.written(stage(llm, df, ""), f"test-{name}")
-        assert (df.count() > 0) == (df.count() != 0)
+def test_pipeline_on_odd_and_no_rows(llm, edge, none):
+    want = {
+        # No text or no letter: 4, 5, 6, 11 and the row of nulls.
+        "language": [1, 2, 3, 7, 8, 9, 9, 9, 10, 12, 13, 14, None],
+        # Copies of the row without an id, which sorts first: 1, 2 and two rows of 9. Copy of 12: 13.
+        "exact_copies": [3, 7, 8, 9, 10, 12, 14, None],
+        # 3 is that row with a word more.
+        "near_copies": [7, 8, 9, 10, 12, 14, None],
+    }
+    df, empty = edge, none
+    for name, stage in corpus_pipeline.STAGES:
+        df, empty = (common.written(stage(llm, x, ""), f"test-{name}") for x in (df, empty))
+        ids = [r["doc_id"] for r in df.select("doc_id").collect()]
+        if name in want:
+            assert sorted(ids, key=lambda i: (i is None, i)) == want[name], name
+        assert set(ids) <= set(want["near_copies"]) or name in want
+        assert empty.count() == 0
+        if name != "packing":
+            assert df.dtypes == edge.dtypes and empty.dtypes == none.dtypes
