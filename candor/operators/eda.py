@@ -2,49 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.fixed_values import HIGH_CORRELATION, PROFILE_PROBABILITIES
 from candor.functions.columns import compact, divide, one_row
 from candor.functions.ranks import exact_quantiles, running_totals, value_histogram
+from candor.functions.selection import quantiles
+from candor.session import ensure_checkpoint_dir
 
 
 def column_profile(
     df: DataFrame, columns: list[str], probabilities: list[float] = PROFILE_PROBABILITIES
 ) -> DataFrame:
-    """One row per column: counts, moments, range and exact quantiles, from one scan of the table.
+    """One row per column: counts, moments, range and exact quantiles. NaN counts as NULL.
 
-    Everything is computed from the value histogram, so the table is read once, combined before the
-    shuffle, and no quantile needs all values in one task.
+    The numeric columns are written once to the shared folder, so all passes see the same values and the table
+    behind them is computed once. No cell is shuffled: moments are one aggregate, quantiles come by range refinement.
     """
-    hist = value_histogram(df, columns)
-    v, n = F.col("value"), F.col("n")
-    known = F.when(v.isNotNull(), n)
-    basics = hist.groupBy("name").agg(
-        F.coalesce(F.sum(known), F.lit(0)).alias("n_non_null"),
-        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("n_null"),
-        divide(F.sum(v * n), F.sum(known)).alias("mean"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    )
-    centre = basics.select(F.col("name").alias("_name"), F.col("mean").alias("_mean"))
-    spread = hist.join(F.broadcast(centre), F.col("name") == F.col("_name")).groupBy("name").agg(
-        F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))).alias("_ss")
-    )
-    quantiles = exact_quantiles(hist, probabilities).groupBy("name").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(_quantile_name(p)) for p in probabilities]
-    )
-    out = basics.join(spread, "name").join(quantiles, "name", "left")
-    std = F.when(F.col("n_non_null") > 1, F.sqrt(F.col("_ss") / (F.col("n_non_null") - 1)))
-    return out.select(
-        F.col("name").alias("column"), "n_non_null", "n_null", "mean", std.alias("std"), "min", "max",
-        *[_quantile_name(p) for p in probabilities],
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/profile-{uuid.uuid4().hex}"
+    number = lambda c: F.col(c).cast("double")
+    df.select(*[F.when(~F.isnan(number(c)), number(c) + 0.0).alias(c) for c in columns]).write.parquet(path)
+    table = spark.read.parquet(path)
+    moments = {"known": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = table.agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in moments.items()]
+    ).first()
+    at = quantiles(table, probabilities, {c: row[f"known_{i}"] for i, c in enumerate(columns)})
+    names = [_quantile_name(p) for p in probabilities]
+    return spark.createDataFrame(
+        [
+            (c, row[f"known_{i}"], row["n"] - row[f"known_{i}"], *[row[f"{m}_{i}"] for m in ("mean", "std", "min", "max")], *at[c])
+            for i, c in enumerate(columns)
+        ],
+        "column string, n_non_null bigint, n_null bigint, mean double, std double, min double, max double, "
+        + ", ".join(f"{name} double" for name in names),
     )
 
 
