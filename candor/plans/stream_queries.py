@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from candor.plans.catalog import r6, register
-from candor.session import tune
-from candor.streaming.running import bursts, first_seen, read_files, run_available, running_counters
+from candor.session import ensure_checkpoint_dir, tune
+from candor.streaming.running import (
+    burst_windows,
+    bursts,
+    first_seen,
+    first_seen_exactly,
+    read_files,
+    run_available,
+    running_counters,
+)
 
 
 def _events(spark, d):
@@ -36,3 +46,43 @@ def _(spark, d):
 )
 def _(spark, d):
     return run_available(bursts(_events(spark, d), ["user_id"], "ts"))
+
+
+CHUNKS = 4  # arrivals: events come in this many parts by id, each over the whole span of time
+
+
+def _by_arrival(spark, d, run):
+    """Let the events arrive in parts, run the stream after each, and return what the last run gives.
+
+    Every run takes up where the one before ended, so later parts hold repeats and rows far behind the watermark.
+    """
+    base = f"{ensure_checkpoint_dir(tune(spark))}/arrivals-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(CHUNKS):
+        events.filter(F.pmod("event_id", F.lit(CHUNKS)) == part).write.mode("append").parquet(f"{base}/in")
+        out = run(read_files(spark, f"{base}/in", "*.parquet"), base)
+    return out
+
+
+@register(
+    "stream_first_seen_exactly",
+    f"""SELECT user_id, event_type, event_id FROM events
+ QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % {CHUNKS}, ts, event_id) = 1""",
+)
+def _(spark, d):
+    first = lambda stream, base: first_seen_exactly(stream, ["user_id", "event_type"], ["ts", "event_id"], base)
+    return _by_arrival(spark, d, first).select("user_id", "event_type", "event_id")
+
+
+@register(
+    "stream_burst_windows",
+    f"""WITH e AS (SELECT *, event_id % {CHUNKS} AS part, date_trunc('day', ts) + INTERVAL 1 DAY AS "end" FROM events WHERE ts IS NOT NULL),
+ ticks AS (SELECT part, max(ts) AS last FROM e GROUP BY part),
+ before AS (SELECT p.part, max(t.last) AS last FROM ticks p LEFT JOIN ticks t ON t.part < p.part GROUP BY p.part)
+ SELECT user_id, ("end" - INTERVAL 1 DAY)::TIMESTAMP AS "start", "end"::TIMESTAMP AS "end", count(*)::BIGINT AS n,
+ (count(*) FILTER (WHERE "end" + INTERVAL 1 HOUR <= before.last))::BIGINT AS n_late,
+ "end" + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) AS "final"
+ FROM e JOIN before USING (part) GROUP BY user_id, "end" HAVING count(*) >= 3""",
+)
+def _(spark, d):
+    return _by_arrival(spark, d, lambda stream, base: burst_windows(stream, ["user_id"], "ts", base))
