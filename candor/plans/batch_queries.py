@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from candor.fixed_values import METRIC_KEYS
@@ -9,6 +11,7 @@ from candor.operators import features
 from candor.operators.cleaning import clean_labelled, clean_reviews
 from candor.plans.catalog import big, r6, register
 from candor.plans.views import CLEANED_SQL, REVIEWS_SQL, raw_reviews, reviews
+from candor.session import ensure_checkpoint_dir
 
 # ---- Cleaning -----------------------------------------------------------------------------------
 
@@ -307,6 +310,32 @@ def _(spark, d):
     return run_manifest(_cleaned(spark, d), _kept(spark, d))
 
 
+_WRITTEN = {
+    "source_file": "string", "reviewerID": "string", "asin": "string", "overall": "double", "summary": "string",
+    "unixReviewTime": "double", "category": "string", "text_missing": "tinyint", "text_very_short": "tinyint",
+}
+
+
+def _written_sql():
+    rows = ["SELECT 'rows' AS kind, 'written' AS name, NULL::VARCHAR AS type, count(*)::BIGINT AS n, TRUE AS timed FROM cleaned"]
+    rows += [f"""SELECT 'column', '{c}', '{t}', (count(*) - count("{c}"))::BIGINT, FALSE FROM cleaned""" for c, t in _WRITTEN.items()]
+    rows += [f"SELECT 'issue', '{c}', NULL, (count(*) FILTER (WHERE {c} = 1))::BIGINT, FALSE FROM cleaned"
+             for c in ("text_missing", "text_very_short")]
+    return f"WITH {CLEANED_SQL} " + " UNION ALL ".join(rows)
+
+
+@register("written_manifest", _written_sql())
+def _(spark, d):
+    from candor.sources import sinks
+
+    base = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    issues = {c: F.col(c) == 1 for c in ("text_missing", "text_very_short")}
+    figures = sinks.write_observed(_cleaned(spark, d).select(*_WRITTEN), f"{base}/rows", issues)
+    sinks.write_manifest(figures, f"{base}/manifest")
+    return spark.read.schema(sinks.STEP_MANIFEST).json(f"{base}/manifest").select(
+        "kind", "name", "type", "n", (F.coalesce(F.col("seconds"), F.lit(0.0)) > 0).alias("timed"))
+
+
 @register(
     "row_count_from_footer",
     "SELECT count(*)::BIGINT AS n FROM lineitem",
