@@ -117,7 +117,7 @@ def _narrow(wanted: Wanted, counts: list[int], quantiles: list[float] | None) ->
 def _aim(wanted: Wanted, quantiles: list[float]) -> Wanted | float:
     """Choose the two values to count next. A sketch of few values holds them all and answers at once."""
     at = (wanted.place + 0.5) / wanted.n
-    if wanted.n <= GRID // 2:
+    if wanted.n <= min(GRID // 2, SKETCH_SIZE):
         return quantiles[round(at * GRID)]
     a = quantiles[max(math.floor((at - MARGIN) * GRID), 0)]
     b = quantiles[min(math.ceil((at + MARGIN) * GRID), GRID)]
