@@ -113,3 +113,22 @@ def test_spearman_ranks_by_null_mask(spark):
     assert all(got[k][0] == n and abs(got[k][1] - r) < 1e-9 for k, (n, r) in want.items())
     plan = eda.spearman(df.select("a", "b"), ["a", "b"])._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and "Cartesian" not in plan
+
+
+def test_rows_of_hot_keys_and_null_keys_are_shuffled_to_many_tasks(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 4 == 1, F.col("id").cast("string")).alias("k"), "id")
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k IS NOT NULL")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = attach_by_key(rows, stats, ["k"], "n", ["id"], hot_rows=100)
+        placed = out.withColumn("part", F.spark_partition_id()).groupBy("k", "n").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("m"))
+        found = {r["k"]: (r["n"], r["parts"], r["m"]) for r in placed.filter("k IS NULL OR k = 'hot'").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found["hot"][0] == found["hot"][2] == 2000 and found[None][0] is None and found[None][2] == 1000
+    assert found["hot"][1] > 1 and found[None][1] > 1
