@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from candor.functions.skew import attach_by_key
-from candor.operators import audit, eda, near_copies, pages, payloads, products
+from candor.operators import audit, dedup, eda, near_copies, pages, payloads, products
 
 
 def live(spark, product_id):
@@ -132,3 +132,9 @@ def test_rows_of_hot_keys_and_null_keys_are_shuffled_to_many_tasks(spark):
             spark.conf.set(k, v)
     assert found["hot"][0] == found["hot"][2] == 2000 and found[None][0] is None and found[None][2] == 1000
     assert found["hot"][1] > 1 and found[None][1] > 1
+
+
+def test_top_rows_of_a_group_are_limited_before_the_shuffle(spark):
+    rows = spark.range(10000).select((F.col("id") % 3).alias("g"), "id")
+    top = dedup.first_rows(rows, ["g"], ["id"], 1500)
+    assert top.count() == 4500 and "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
