@@ -4,6 +4,8 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+import numpy as np
+from candor.functions.similarity import Block
 from candor.functions.skew import attach_by_key
 from candor.operators import additive, features, near_copies, products, scoring
 from candor.plans import views
@@ -148,3 +150,11 @@ def test_feature_tables_do_not_depend_on_the_hot_limit(spark):
         a, b = build(r), build(r, hot_rows=3)
         rounded = lambda df: df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
         assert rounded(a).exceptAll(rounded(b)).count() == 0 and a.count() == b.count()
+
+
+def test_texts_that_match_only_out_of_order_are_no_candidates():
+    words = ["grind", "plate", "mouse", "cable", "short", "light", "brown", "stand", "chair", "clock"] * 30
+    a, b = " ".join(words), " ".join(words[150:] + words[:150][::-1])
+    block = Block([a, b, a + "!"], 0.92)
+    assert block.candidates(0, np.array([1, 2])).tolist() == [2] and block.near(0, 2)
+    assert not block.near(0, 1)
