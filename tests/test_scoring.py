@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 import numpy as np
+from candor.fixed_values import RISK_FEATURES
 from candor.functions.similarity import Block
 from candor.functions.skew import attach_by_key
 from candor.operators import additive, features, near_copies, products, scoring
@@ -158,3 +159,23 @@ def test_texts_that_match_only_out_of_order_are_no_candidates():
     block = Block([a, b, a + "!"], 0.92)
     assert block.candidates(0, np.array([1, 2])).tolist() == [2] and block.near(0, 2)
     assert not block.near(0, 1)
+
+
+def test_review_risk_shuffles_the_reviews_once(spark):
+    texts = ["good value, would buy again", "Good value, would buy again", "good value, would buy again!", "bad", None, ""]
+    rows = products.prepare(spark.createDataFrame(
+        [("amazon", f"P{i % 2}" if i % 3 else None, f"r{i}", f"u{i % 4}", float(1 + i % 5), None, texts[i % 6], i % 7, False, "2024-01-02")
+         for i in range(60)], "platform string, product_id string, review_id string, reviewer_id string, rating double, title string, "
+        "text string, helpful_votes int, verified_purchase boolean, review_date string"))
+    matches = near_copies.near_texts(rows)
+    risk = scoring.review_risk(rows, matches=matches)
+    step = near_copies.with_near_flag(products.with_copies(rows), matches)
+    want = {r["review_id"]: (r["copies"], r["near"]) for r in step.collect()}
+    got = risk.select("review_id", *[F.array_contains(F.col("explanations.feature"), RISK_FEATURES[k]).alias(k) for k in ("exact", "near")]).collect()
+    assert len(got) == 60
+    for r in got:
+        copies, near = want[r["review_id"]]
+        assert (r["exact"], r["near"]) == ((copies or 0) > 1, near)
+    flat = scoring.review_risk(rows, matches=matches.limit(0))._jdf.queryExecution().optimizedPlan().toString()
+    with_ids = [line for line in flat.splitlines() if "Join LeftOuter" in line and "_place" in line and "text_id" in line]
+    assert len(with_ids) == 1
