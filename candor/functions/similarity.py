@@ -1,4 +1,4 @@
-"""Exact near-duplicate test for one bounded block of texts.
+"""Exact near-duplicate test for bounded blocks of texts.
 
 Two texts are near copies when difflib's ratio of their lower-case forms reaches the threshold. Three
 bounds that can never reject a true match run first, as array operations: lengths, shared characters,
@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 
 PIECES = (4, 5, 6)
 CHAR_BINS = 128
+SHORT = 512  # characters of two texts up to which no pieces are built
 AUTOJUNK_FROM = 200  # characters of the later text from which difflib leaves out frequent ones
 
 
@@ -40,39 +41,56 @@ def _pieces(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """The texts of one block with the arrays the bounds need."""
+    """Texts with the arrays the bounds need: those of one block, or of several small ones."""
 
     def __init__(self, texts: list[str], threshold: float, autojunk: bool = True):
         self.texts = [t.lower() for t in texts]
         self.threshold = threshold
         self.autojunk = autojunk
-        codes = [_code_points(t) for t in self.texts]
-        self.length = np.array([len(c) for c in codes], dtype=np.int64)
-        self.chars = np.zeros((len(codes), CHAR_BINS), dtype=np.int32)
-        for i, c in enumerate(codes):
-            self.chars[i] = np.bincount(c % CHAR_BINS, minlength=CHAR_BINS)
-        self._codes = codes
+        self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self._ends = np.cumsum(self.length)
+        self._all = _code_points("".join(self.texts))
+        bins = np.repeat(np.arange(len(texts)) * CHAR_BINS, self.length) + self._all % CHAR_BINS
+        self.chars = np.bincount(bins, minlength=len(texts) * CHAR_BINS).reshape(-1, CHAR_BINS).astype(np.int32)
         self._pieces: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self._places: tuple[int, dict[str, int]] = (-1, {})
 
+    def codes(self, i: int) -> np.ndarray:
+        return self._all[self._ends[i] - self.length[i]: self._ends[i]]
+
     def pieces(self, i: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         if (i, size) not in self._pieces:
-            self._pieces[i, size] = _pieces(self._codes[i], size)
+            self._pieces[i, size] = _pieces(self.codes(i), size)
         return self._pieces[i, size]
 
+    def enough_characters(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of texts, whether their lengths and shared characters allow a near copy."""
+        needed = self.threshold * (self.length[i] + self.length[j]) / 2 - 1e-6
+        keep = np.minimum(self.length[i], self.length[j]) >= needed
+        at = np.flatnonzero(keep)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo: lo + (1 << 16)]
+            keep[part] = np.minimum(self.chars[i[part]], self.chars[j[part]]).sum(axis=1) >= needed[part]
+        return keep
+
     def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
         """The members of `others` that may be near copies of text i."""
         if len(others) == 0:
             return others
-        total = self.length[others] + self.length[i]
-        needed = self.threshold * total / 2 - 1e-6
-        keep = np.minimum(self.length[others], self.length[i]) >= needed
-        others, needed, total = others[keep], needed[keep], total[keep]
-        shared = np.minimum(self.chars[others], self.chars[i]).sum(axis=1)
-        keep = shared >= needed
-        others, total = others[keep], total[keep]
-        keep = [j for j, s in zip(others, total) if self._enough_pieces(i, int(j), int(s)) and self._enough_in_order(i, int(j))]
-        return np.array(keep, dtype=np.int64)
+        others = others[self.enough_characters(np.full(len(others), i), others)]
+        return np.array([j for j in others if self.may_match(i, int(j))], dtype=np.int64)
+
+    def may_match(self, i: int, j: int) -> bool:
+        """The bounds on pieces and on what matches in order. Short texts go by the order alone, which is quicker there."""
+        total = int(self.length[i] + self.length[j])
+        return (total < SHORT or self._enough_pieces(i, j, total)) and self._enough_in_order(i, j)
+
+    def same_start(self, i: int, j: int) -> bool:
+        """Whether the common beginning alone reaches the threshold."""
+        x, y = self.codes(i), self.codes(j)
+        shorter = min(len(x), len(y))
+        differ = np.flatnonzero(x[:shorter] != y[:shorter])
+        return 2.0 * (differ[0] if len(differ) else shorter) / (len(x) + len(y)) >= self.threshold
 
     def _enough_pieces(self, i: int, j: int, total: int) -> bool:
         matched = self.threshold * total / 2
@@ -90,7 +108,7 @@ class Block:
     def places(self, i: int) -> dict[str, int]:
         """For every character of text i, the whole number whose bits are its places. Kept for one text."""
         if self._places[0] != i:
-            codes = self._codes[i]
+            codes = self.codes(i)
             found = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
             self._places = (i, found)
         return self._places[1]
@@ -120,12 +138,9 @@ class Block:
         a, b = self.texts[i], self.texts[j]
         if a == b:
             return True
-        if not self.autojunk or len(b) < AUTOJUNK_FROM:  # difflib then matches the longest common piece, whatever its characters
-            x, y = self._codes[i], self._codes[j]
-            shorter = min(len(x), len(y))
-            differ = np.flatnonzero(x[:shorter] != y[:shorter])
-            if 2.0 * (differ[0] if len(differ) else shorter) / (len(x) + len(y)) >= self.threshold:
-                return True
+        # difflib matches the longest common piece, whatever its characters, unless it leaves out frequent ones
+        if (not self.autojunk or len(b) < AUTOJUNK_FROM) and self.same_start(i, j):
+            return True
         return SequenceMatcher(None, a, b, self.autojunk).ratio() >= self.threshold
 
 

@@ -30,7 +30,7 @@ from candor.fixed_values import (
 from candor.functions.columns import clamp, compact, divide, half_even, let, text_key
 from candor.functions.skew import attach_by_key
 from candor.operators.dedup import first_rows
-from candor.operators.near_copies import is_near, near_bounds, near_pairs, near_texts
+from candor.operators.near_copies import is_near, near_bounds, near_texts, pair_counts
 from candor.operators.products import (
     GROUP,
     SPREAD,
@@ -362,8 +362,8 @@ def score_reviews(rows: DataFrame, matches: DataFrame | None = None, **skew: int
     risk = review_risk(rows, matches=matches, **skew)
     profiles = reviewer_profiles(rows)
     return {
-        "signals": join_by_product(signals, near_pairs(rows, matches)).withColumn(
-            "near_duplicate_pairs", F.coalesce("near_duplicate_pairs", F.lit(0))),
+        "signals": join_by_product(signals, pair_counts(rows, matches)).withColumn(
+            "near_duplicate_pairs", F.coalesce("found", F.lit(0).cast("long"))).drop("found"),
         "reviews": risk,
         "reviewers": profiles,
         "products": product_trust(signals, risk, profiles),

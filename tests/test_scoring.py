@@ -179,3 +179,25 @@ def test_review_risk_shuffles_the_reviews_once(spark):
     flat = scoring.review_risk(rows, matches=matches.limit(0))._jdf.queryExecution().optimizedPlan().toString()
     with_ids = [line for line in flat.splitlines() if "Join LeftOuter" in line and "_place" in line and "text_id" in line]
     assert len(with_ids) == 1
+
+
+def test_small_products_are_compared_together_and_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "RUN_TEXTS", 20)
+    texts = ["note on a thing that works well, grade a", "note on a thing that works well, grade b", "note on a thing that works well, grade A",
+             "too short", "quite another text of some length here", None]
+    rows = products.prepare(spark.range(1200, numPartitions=8).select(
+        F.lit("t").alias("platform"), F.concat(F.lit("p"), F.col("id") % 150).alias("product_id"), F.col("id").cast("string").alias("review_id"),
+        F.lit(None).cast("string").alias("reviewer_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("helpful_votes"),
+        F.lit(None).cast("double").alias("rating"), F.lit(None).cast("boolean").alias("verified_purchase"),
+        F.element_at(F.array(*[F.lit(t) for t in texts]), (F.xxhash64("id") % 6 + 6).cast("int") % 6 + 1).alias("text"),
+        F.timestamp_seconds(F.col("id") % 7).alias("review_date")))
+    want = {}
+    for r in rows.collect():
+        n = want.setdefault(r.product_id, {})
+        n[r.text] = n.get(r.text, 0) + 1
+    notes = lambda n: [n.get(t, 0) for t in texts[:3]]
+    pairs = {p: (sum(notes(n)) ** 2 - sum(k * k for k in notes(n))) // 2 for p, n in want.items()}
+    matches = near_copies.near_texts(rows)
+    got = near_copies.near_pairs(rows, matches)
+    assert {r.product_id: r.near_duplicate_pairs for r in got.collect()} == pairs
+    assert "MapInPandas" not in got._jdf.queryExecution().toString()  # matched once, not again by every use
