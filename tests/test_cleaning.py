@@ -104,3 +104,7 @@ def test_csv_round_trip(spark, tmp_path):
 def test_missing_columns_of_a_file_family(spark):
     r = one(clean_reviews(raw(spark).drop("_id", "summary", "class")))
     assert (r["mongo_id"], r["summary"], r["summary_missing"], r["class_missing"], r["category"]) == (None, None, 1, 1, None)
+
+
+def test_wide_projections_stay_small_enough_to_be_compiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
