@@ -138,3 +138,21 @@ def test_top_rows_of_a_group_are_limited_before_the_shuffle(spark):
     rows = spark.range(10000).select((F.col("id") % 3).alias("g"), "id")
     top = dedup.first_rows(rows, ["g"], ["id"], 1500)
     assert top.count() == 4500 and "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metric_cells_are_parsed_once(spark):
+    cells = {"{'a': None, 'b': True}": "ok", " {'a': 1} ": "ok", "{}": "ok", "[1, None]": "wrong_type", "False": "wrong_type", "3": "wrong_type",
+             "{'a': oops": "unparseable", "oops": "unparseable", "{'Nonesuch': 1}": "ok", " NaN ": "missing", "": "missing", None: "missing"}
+    raw = spark.createDataFrame([(c,) for c in cells], "c string").withColumn("source_file", F.col("c"))
+    out = audit.metric_status(raw, "c")
+    assert {r.source_file: r.status for r in out.collect()} == cells
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_line_delta_reads_the_records_once(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n1,"x\ny"\n\n2,z\ncut off,1,2\n"3",""""\n')
+    out = audit.line_delta(spark, path, ["a", "b"])
+    assert [tuple(r) for r in out.collect()] == [(6, 3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 3
