@@ -14,8 +14,10 @@ A document's set is its distinct n-grams of words (a shorter text is one n-gram)
    without being expanded into pairs. Further rounds take another class of each token, while they find links.
    Pairs whose shared tokens are too few for a link, or lie too late in the order, are not formed.
 5. Tokens all of whose classes are now in one component are done. Of the others, tokens met in at most
-   `rare` components are indexed one by one; frequent ones by combinations of k of them, since linked
-   sets without a common rare token share k frequent ones. Each class has a parity mark: one bit for each hash
+   `rare` components are indexed one by one, and so are those whose pairs of classes cost less to test than the
+   combinations cost to write (a row as much as `row_tests` tests; at most `MOST` classes, as one token may be one
+   task's). The rest, the frequent ones, are indexed by combinations of k of them, since linked sets without any
+   other common token share k frequent ones. Each class has a parity mark: one bit for each hash
    bucket of its shared tokens, flipped by every token. Marks that differ in d bits differ in d tokens at least,
    so a pair is not formed if that alone leaves too few in common. The other pairs across components are
    verified exactly: intersections need shared tokens only.
@@ -38,6 +40,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from candor.llm.common import (
     attach,
@@ -55,6 +58,8 @@ from candor.llm.common import (
 )
 
 RARE = 32
+ROW_TESTS = 256
+MOST = 1 << 14
 K = 2
 ROUNDS = 5
 SET_ROWS = 1 << 18
@@ -299,7 +304,19 @@ def _combined(entries: DataFrame, k: int) -> DataFrame:
     return grouped.mapInPandas(run, "combo long, class long, size long, shared long, behind long, component long")
 
 
-def links_between(sets: DataFrame, percent: int, rare: int, k: int, rounds: int = ROUNDS) -> DataFrame:
+def _frequent(entries: DataFrame, rare: int, row_tests: int) -> DataFrame:
+    """The tokens of more than `rare` components that cost less by combinations than one by one.
+
+    One by one, a class is tested against all classes of the token; by combinations it gives a row for each other token
+    of its own that may be frequent.
+    """
+    others = F.count(F.lit(1)).over(Window.partitionBy("class")) - 1
+    crowded = entries.where(F.col("n_components") > rare).select("token", others.alias("others"))
+    cost = crowded.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.avg("others").alias("others"))
+    return cost.where(F.col("n") > F.least(F.col("others") * row_tests, F.lit(MOST))).select("token")
+
+
+def links_between(sets: DataFrame, percent: int, rare: int, k: int, rounds: int = ROUNDS, row_tests: int = ROW_TESTS) -> DataFrame:
     """Links (a, b) that connect all classes of each component; `sets` as `candidates_of` returns them."""
     index = written(sets.select("class", "size", "shared", "central", F.posexplode("prefix").alias("pos", "token")).withColumn(
         "behind", (F.col("shared") - F.col("pos") - 1).cast("long")).drop("pos"), "index")
@@ -323,16 +340,17 @@ def links_between(sets: DataFrame, percent: int, rare: int, k: int, rounds: int
     spread = entries.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n_components")).where("n_components > 1")
     entries = written(entries.join(spread, "token"), "unsettled")
-    pairs = _pairs(entries.where(F.col("n_components") <= rare), sets, "token", percent, k)
-    frequent = entries.where(F.col("n_components") > rare)
+    frequent = written(_frequent(entries, rare, row_tests), "frequent")
+    pairs = _pairs(entries.join(frequent, "token", "left_anti"), sets, "token", percent, k)
     if not frequent.isEmpty():
-        pairs = pairs.unionByName(_pairs(written(_combined(frequent, k), "combos"), sets, "combo", percent, k)).distinct()
+        many = _combined(entries.join(frequent, "token", "left_semi"), k)
+        pairs = pairs.unionByName(_pairs(written(many, "combos"), sets, "combo", percent, k)).distinct()
     return links.unionByName(verified(pairs.join(checked, ["a", "b"], "left_anti"), sets, percent))
 
 
 def similar_documents(
     docs: DataFrame, n: int = 5, percent: int = 80, fold_case: bool = True, rare: int = RARE, k: int = K,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", row_tests: int = ROW_TESTS,
 ) -> DataFrame:
     """One row per row of `docs`: `doc_id, n_shingles, class_id, component_id`.
 
@@ -349,7 +367,7 @@ def similar_documents(
     ranges = parts_for(total, RANGE_TOKENS)
     shared = written(shared_tokens(token_blobs(rows, n, percent, fold_case, ranges), ranges), "shared")
     sets = written(candidates_of(shared, classes, percent, k, ranges), "sets")
-    links = links_between(sets, percent, rare, k)
+    links = links_between(sets, percent, rare, k, row_tests=row_tests)
     member = components(links).select(F.col("node").alias("class"), "component")
     inside = classes.join(member, "class", "left").withColumn("component", F.coalesce("component", "class"))
     inside = written(inside, "inside")

@@ -208,6 +208,38 @@ def test_chains_and_frequent_words(llm, rare):
     assert 1 < len({r[2] for r in got}) < 90
 
 
+@pytest.mark.parametrize("row_tests", [jaccard.ROW_TESTS, 0])
+def test_shared_passages_are_not_combined_where_pairs_are_fewer(llm, monkeypatch, row_tests):
+    """Texts that share a passage but are no copies: pairs of them are tested, no pairs of the passage's words are written."""
+    passage = long_text(36, 2)
+    table = [(i, passage + " " + long_text(5, 10 + i)) for i in range(40)]
+    table += [(100 + i, text + " end") for i, text in table[::10]]
+    made, combined = [], jaccard._combined
+
+    def counted(entries, k):
+        out = combined(entries, k)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_combined", counted)
+    df = llm.createDataFrame(table, "doc_id long, text string")
+    got = rows(jaccard.similar_documents(df, 3, 80, rare=2, row_tests=row_tests), "doc_id", "n_shingles", "component_id")
+    assert got == plain_near(table, 3, 80)
+    assert len({r[2] for r in got}) == 40
+    assert not made if row_tests else made[0] > 200
+
+
+@pytest.mark.parametrize("most", [1, jaccard.MOST])
+def test_combinations_of_frequent_words(llm, monkeypatch, most):
+    """The result is the same whichever tokens are combined."""
+    monkeypatch.setattr(jaccard, "MOST", most)
+    passage = long_text(30, 2).split()
+    table = [(i, " ".join([*passage[: 20 + i % 11], *long_text(9, 10 + i % 25).split()])) for i in range(60)]
+    df = llm.createDataFrame(table, "doc_id long, text string")
+    got = rows(jaccard.similar_documents(df, 2, 80, rare=1, row_tests=1), "doc_id", "n_shingles", "component_id")
+    assert got == plain_near(table, 2, 80)
+
+
 def test_keep_one_of_each_component(edge, none, docs):
     kept = jaccard.keep_one(edge)
     assert kept.columns == edge.columns
