@@ -1,11 +1,14 @@
 """Split CSV files against Python's csv module."""
 
 import csv
+import functools
 import io
 import random
 
 import pytest
 
+from candor.fixed_values import METRIC_KEYS
+from candor.plans import views
 from candor.sources import quoted_csv, tables
 
 COLUMNS = ["a", "b", "c"]
@@ -69,3 +72,37 @@ def test_empty_file_and_no_header(spark, tmp_path):
     (tmp_path / "bare.csv").write_text("1,2,3\n")
     got = quoted_csv.read(spark, str(tmp_path), COLUMNS, "bad").collect()
     assert [(r["a"], r["line"]) for r in got] == [("1", 0)]
+
+
+def test_bytes_that_are_no_text_and_small_batches(small_ranges, tmp_path):
+    spark = small_ranges
+    body = b"a,b,c\n" + b"".join(b"r%d,\"one\n\xff two\r\n\",x\xfe\r\n" % i for i in range(80)) + b"open,\"\xff\n\nend"
+    (tmp_path / "one.csv").write_bytes(body)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = quoted_csv.read(spark, str(tmp_path), COLUMNS, "bad").orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["a"], r["b"], r["c"], r["line"], r["n_lines"]) for r in got[:-1]] == [
+        (f"r{i}", "one\n� two\r\n", "x�", 1 + 3 * i, 3) for i in range(80)]
+    assert (got[-1]["bad"], got[-1]["line"], got[-1]["n_lines"]) == ("open,\"�\n\nend", 241, 3)
+
+
+def test_a_file_is_read_three_times_and_its_ranges_counted_once(small_ranges, tmp_path):
+    (tmp_path / "one.csv").write_text(text_of(make(3, 200)), encoding="utf-8")
+    counts = tables.reject_counts(tables.read_raw_reviews(small_ranges, str(tmp_path), COLUMNS))
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert final.count("FileScan text") == 3 and "ReusedExchange" in final
+
+
+def test_the_metric_texts_of_stored_lines(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    lines = views.stored_lines(spark, d, str(tmp_path / "lines"))
+    stored = views.raw_reviews(spark, d, lines)
+    assert "Join" not in stored._jdf.queryExecution().optimizedPlan().toString()
+    plain, own = views.raw_reviews(spark, d), stored
+    assert plain.exceptAll(own).count() == 0 and own.exceptAll(plain).count() == 0
+    cells = [views._metric_text(k).eqNullSafe(views.metric(k).cast("string")) for k in METRIC_KEYS]
+    assert lines.where(~functools.reduce(lambda a, b: a & b, cells)).count() == 0 and lines.count() > 0
