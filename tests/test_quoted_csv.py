@@ -106,3 +106,11 @@ def test_the_metric_texts_of_stored_lines(spark, tmp_path):
     assert plain.exceptAll(own).count() == 0 and own.exceptAll(plain).count() == 0
     cells = [views._metric_text(k).eqNullSafe(views.metric(k).cast("string")) for k in METRIC_KEYS]
     assert lines.where(~functools.reduce(lambda a, b: a & b, cells)).count() == 0 and lines.count() > 0
+
+
+def test_good_rows_are_parsed_once(spark, tmp_path):
+    (tmp_path / "one.csv").write_text(text_of(make(4, 20)), encoding="utf-8")
+    good = tables.good_rows(tables.read_raw_reviews(spark, str(tmp_path), COLUMNS))
+    plan = good.select("a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1
+    assert good.count() == 20
