@@ -1,4 +1,5 @@
 import itertools
+import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -128,6 +129,31 @@ def test_near_copies_equal_brute_force(spark):
         assert {int(r.review_id) for r in got} == near, tile
 
 
+def test_only_texts_that_may_have_a_near_copy_reach_a_block(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("etaoinshrdlucmfwyp  jq"), 300)) for _ in range(60)]
+    texts[11] = texts[11][:150] + "0123456789" + texts[11][160:]
+    texts.append(texts[11][1:-9] + "yes")
+    rows = live(spark, [dict(review_id=f"{i:03d}", text=t, review_date=DAY0 + timedelta(hours=i)) for i, t in enumerate(texts)])
+    folded = near_copies.distinct_texts(rows).cache()
+    for tile in (4, 1):
+        sent = near_copies.blocks(folded, 0.92, tile).collect()
+        assert {r.text for r in sent} == {texts[11].strip(), texts[60].strip()} and len(sent) == 2, tile
+    assert near_copies.near_pairs(rows, near_copies.near_texts(rows, tile=4)).collect()[0].near_duplicate_pairs == 1
+
+
+def test_the_ratio_is_settled_as_difflib_does(spark):
+    rng = random.Random(4)
+    texts = _texts() + ["".join(rng.choice("etaoinshrd lu  jqz") for _ in range(n)) for n in (199, 200, 230, 900)]
+    texts += [t[:k] + rng.choice("ejq") * rng.randrange(9) + t[k + 5:] for t in texts[-4:] for k in rng.sample(range(190), 9)]
+    for autojunk in (True, False):
+        block = Block(texts, 0.92, autojunk)
+        for i, j in itertools.permutations(range(len(texts)), 2):
+            want = SequenceMatcher(None, texts[i].lower(), texts[j].lower(), autojunk).ratio() >= 0.92
+            assert block.near(i, j) == want
+            assert not want or block.share_pieces(np.array([i]), np.array([j]))[0]
+
+
 def test_one_way_pairs_are_counted_by_order(spark):
     matches = spark.createDataFrame([("t", "p", "a", "b")], "platform string, product_id string, ta string, tb string")
     rows = live(spark, [dict(review_id=f"{i:02d}", text="ab"[i % 2 if i < 6 else 0], review_date=DAY0 + timedelta(hours=8 * i)) for i in range(8)])
