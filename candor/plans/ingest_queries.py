@@ -496,7 +496,8 @@ def _(spark, d):
  count(*) FILTER (WHERE text_available)::BIGINT AS n_with_text FROM rf JOIN wanted ON asin = id GROUP BY asin""",
 )
 def _(spark, d):
-    return history.historical_review_stats(_requests(spark, d), features.review_features(reviews(spark, d)))
+    columns = ["asin", "rating", "review_length_chars", "helpful_votes", "is_exact_duplicate_text", "text_available"]
+    return history.historical_review_stats(_requests(spark, d), features.review_features(reviews(spark, d), columns=columns))
 
 
 @register(
