@@ -1,11 +1,13 @@
 import itertools
 import random
+import re
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 import numpy as np
+from candor import session
 from candor.fixed_values import RISK_FEATURES
 from candor.functions.similarity import Block
 from candor.functions.skew import attach_by_key
@@ -148,7 +150,7 @@ def test_the_ratio_is_settled_as_difflib_does(spark):
     texts += [t[:k] + rng.choice("ejq") * rng.randrange(9) + t[k + 5:] for t in texts[-4:] for k in rng.sample(range(190), 9)]
     for autojunk in (True, False):
         block = Block(texts, 0.92, autojunk)
-        for i, j in itertools.permutations(range(len(texts)), 2):
+        for i, j in rng.sample(list(itertools.permutations(range(len(texts)), 2)), 400) + [(k, k + 1) for k in range(len(texts) - 36, len(texts) - 1)]:
             want = SequenceMatcher(None, texts[i].lower(), texts[j].lower(), autojunk).ratio() >= 0.92
             assert block.near(i, j) == want
             assert not want or block.share_pieces(np.array([i]), np.array([j]))[0]
@@ -179,6 +181,25 @@ def test_feature_tables_do_not_depend_on_the_hot_limit(spark):
         assert rounded(a).exceptAll(rounded(b)).count() == 0 and a.count() == b.count()
 
 
+def test_feature_rows_are_shuffled_once_by_their_number(spark):
+    r = views.reviews(spark, "/root/testdata/sf0.001")
+    plan = features.review_features(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"Join \w+, \((\w+)#", plan) == ["_row"] * 3 and "Aggregate" not in plan
+    few = features.review_features(r, columns=["rating", "review_hour"])
+    assert few.columns == ["rating", "review_hour"] and few.exceptAll(features.review_features(r).select("rating", "review_hour")).isEmpty()
+
+
+def test_shuffle_files_go_with_the_job(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    table = session.stored(session.tune(spark).range(5000).repartition(7, "id"), "numbers")
+    assert table.count() == 5000
+    assert not held() - before
+
+
 def test_texts_that_match_only_out_of_order_are_no_candidates():
     words = ["grind", "plate", "mouse", "cable", "short", "light", "brown", "stand", "chair", "clock"] * 30
     a, b = " ".join(words), " ".join(words[150:] + words[:150][::-1])
